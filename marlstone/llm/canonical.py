@@ -60,15 +60,20 @@ def session() -> duckdb.DuckDBPyConnection:
     return c
 
 
+#: Characters that are their own one spelling and compose with nothing; a text of these alone is passed on.
+SETTLED = r"^[\x00-\x7F\x{A1}-\x{AC}\x{AE}-\x{131}\x{134}-\x{1C3}\x{1CD}-\x{24F}\x{2010}-\x{2027}\x{2030}-\x{205E}\x{20A0}-\x{20BF}\x{2190}-\x{2BFF}\x{3001}-\x{3029}\x{4E00}-\x{9FFF}\x{FFFD}\x{1F000}-\x{1FAFF}]*$"
+
+
 def canonical_array(texts: pa.Array) -> pa.Array:
-    """The texts' one spelling; plain ASCII has no other look and is passed on."""
-    ascii_only = pa.compute.fill_null(pa.compute.string_is_ascii(texts), True)
-    if pa.compute.all(ascii_only).as_py() is not False:
+    """The texts' one spelling."""
+    settled = pa.compute.fill_null(pa.compute.match_substring_regex(texts, SETTLED), True)
+    if pa.compute.all(settled).as_py() is not False:
         return texts
-    odd = texts.filter(pa.compute.invert(ascii_only))
+    unsettled = pa.compute.invert(settled)
+    odd = texts.filter(unsettled)
     wide = pa.table({"k": pa.array(range(len(odd)), pa.int32()), "text": odd})  # noqa: F841 - the relation in the statement
     done = session().sql(f"SELECT k, {statement()} AS text FROM wide ORDER BY k").to_arrow_table().column("text").combine_chunks()
-    return pa.compute.replace_with_mask(texts, pa.compute.invert(ascii_only), done.cast(texts.type))
+    return pa.compute.replace_with_mask(texts, unsettled, done.cast(texts.type))
 
 
 def canonical(df: DataFrame, text: str, out: str = "canonical") -> DataFrame:
