@@ -12,6 +12,7 @@ from functools import cache
 
 import duckdb
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,14 +67,14 @@ SETTLED = r"^[\x00-\x7F\x{A1}-\x{AC}\x{AE}-\x{131}\x{134}-\x{1C3}\x{1CD}-\x{24F}
 
 def canonical_array(texts: pa.Array) -> pa.Array:
     """The texts' one spelling."""
-    settled = pa.compute.fill_null(pa.compute.match_substring_regex(texts, SETTLED), True)
-    if pa.compute.all(settled).as_py() is not False:
+    settled = pc.fill_null(pc.match_substring_regex(texts, SETTLED), True)
+    if pc.all(settled).as_py() is not False:
         return texts
-    unsettled = pa.compute.invert(settled)
+    unsettled = pc.invert(settled)
     odd = texts.filter(unsettled)
     wide = pa.table({"k": pa.array(range(len(odd)), pa.int32()), "text": odd})  # noqa: F841 - the relation in the statement
     done = session().sql(f"SELECT k, {statement()} AS text FROM wide ORDER BY k").to_arrow_table().column("text").combine_chunks()
-    return pa.compute.replace_with_mask(texts, unsettled, done.cast(texts.type))
+    return pc.replace_with_mask(texts, unsettled, done.cast(texts.type))
 
 
 def canonical(df: DataFrame, text: str, out: str = "canonical") -> DataFrame:

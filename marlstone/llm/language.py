@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -182,7 +183,7 @@ def segments(docs: DataFrame, filters: Filters, key: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, s = part.column("id").to_pylist(), read(filters, pa.compute.fill_null(canonical_array(part.column("text")), "").to_pylist())
+                ids, s = part.column("id").to_pylist(), read(filters, pc.fill_null(canonical_array(part.column("text")), "").to_pylist())
                 found = runs(s.lang, s.doc)
                 total = np.r_[np.zeros((1, len(LANGUAGES))), np.cumsum(s.scores, axis=0)]
                 first_of = np.searchsorted(s.doc, np.arange(len(ids)))
@@ -212,7 +213,7 @@ def document_languages(docs: DataFrame, filters: Filters, key: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                texts = pa.compute.fill_null(canonical_array(part.column("text")), "").to_pylist()
+                texts = pc.fill_null(canonical_array(part.column("text")), "").to_pylist()
                 s = read(filters, texts)
                 n, labels = len(texts), part.column("label").to_pylist()
                 ids = part.column("id").to_pylist()
