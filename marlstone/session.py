@@ -49,10 +49,12 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+def settle(df: DataFrame, what: str = "settled") -> DataFrame:
+    """The same rows, computed once and written to the shared folder, so that a lost executor costs no recomputation."""
+    spark = df.sparkSession
+    path = shared_path(spark, what)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def tokenizer_file(name: str, path: str | None = None) -> str:
