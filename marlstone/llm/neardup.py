@@ -406,3 +406,39 @@ def similar_pairs(recs: DataFrame, **how) -> DataFrame:
     copies = one.join(two, (one["tbl"] == two["tbl"]) & (one["a"] == two["b"]) & (one["i"] < two["j"])).select(one["tbl"], "i", "j")
     both = across.unionByName(copies).where("i <> j")
     return both.select("tbl", F.least("i", "j").alias("id_1"), F.greatest("i", "j").alias("id_2")).distinct()
+
+
+def groups(recs: DataFrame, **how) -> DataFrame:
+    """(tbl, id, class_id, links, group_id): every record long enough, with the class of its word sequence and its links.
+
+    class_id is the smallest id of the records of one word sequence, links the number of other classes it is similar to, and
+    group_id the smallest class in the chain of links. Chains are followed by alternating large-star and small-star steps on
+    tables in the shared folder, in a number of rounds that grows with the logarithm of the longest chain.
+    """
+    members, pairs = similar_sets(recs, **how)
+    members = settle(members, "members")
+    classes = members.groupBy("tbl", "seq").agg(F.min("id").alias("class_id"))
+    of = lambda side, name: classes.select("tbl", F.col("seq").alias(side), F.col("class_id").alias(name))
+    links = settle(pairs.select("tbl", "a", "b").join(of("a", "u"), ["tbl", "a"]).join(of("b", "v"), ["tbl", "b"]).where("u <> v").select("tbl", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    degree = links.select("tbl", F.explode(F.array("u", "v")).alias("class_id")).groupBy("tbl", "class_id").agg(F.count("*").alias("links"))
+    joined = components(links)
+    out = members.join(classes, ["tbl", "seq"]).join(degree, ["tbl", "class_id"], "left").join(joined, ["tbl", "class_id"], "left")
+    return out.select("tbl", "id", "class_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("group_id", "class_id").alias("group_id"))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(tbl, class_id, group_id) of the links (tbl, u, v), v < u: each node's smallest node in its component."""
+    edges, before = links.select("tbl", "u", "v"), None
+    while True:
+        both = edges.unionByName(edges.select("tbl", F.col("v").alias("u"), F.col("u").alias("v")))
+        # large star: larger neighbours go to the smallest neighbour
+        least = both.groupBy("tbl", "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, ["tbl", "u"]).where("v > u").select("tbl", F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # small star: smaller neighbours and the node itself go to the smallest of them
+        down = large.groupBy("tbl", "u").agg(F.min("v").alias("m"))
+        small = large.join(down, ["tbl", "u"]).select("tbl", F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(down.select("tbl", "u", F.col("m").alias("v"))).distinct()
+        edges = settle(small, "edges")
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("tbl", "u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            return edges.groupBy("tbl", F.col("u").alias("class_id")).agg(F.min("v").alias("group_id"))
+        before = now
