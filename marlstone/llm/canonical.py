@@ -101,8 +101,8 @@ def _looks(df: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
-            both = pa.table({"tbl": batch.column("tbl"), "id": batch.column("id"), "text": texts, "one": canonical_array(texts)})  # noqa: F841
-            yield from session().sql("SELECT tbl, id, unhex(md5(one)) AS look, unhex(md5(text)) AS form FROM both").to_arrow_table().to_batches()
+            looked = pa.table({"tbl": batch.column("tbl"), "id": batch.column("id"), "text": texts, "one": canonical_array(texts)})  # noqa: F841
+            yield from session().sql("SELECT tbl, id, unhex(md5(one)) AS look, unhex(md5(text)) AS form FROM looked").to_arrow_table().to_batches()
 
     return df.mapInArrow(run, "tbl string, id bigint, look binary, form binary")
 
