@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,6 +59,14 @@ def settle(df: DataFrame, what: str = "settled") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of shuffle files that nothing refers to any more; otherwise they stay until the driver collects its garbage."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
+
+
 def tokenizer_file(name: str, path: str | None = None) -> str:
     """Place of a public vocabulary file: the given path, else the installed package's folder."""
     if path:
