@@ -25,18 +25,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.canonical import canonical_array
-from marlstone.session import settle
+from marlstone.session import release, settle
 
 RUN, THRESHOLD, LEAST_WORDS = 5, 0.8, 20
-SLACK = 4
+SLACK = 2
 #: Sizes of band k are BAND * 4 ** k up to four times that; its segments are so many that the largest sets have LOAD runs in each.
 BAND, LOAD = 16, 1.2
 #: Costs are estimated from the run counts of about so many sets.
-SAMPLE_SETS = 20_000
+SAMPLE_SETS = 60_000
+#: Segments whose runs are expected together in a greater share of all sets are no use and neither probed nor indexed.
+USELESS = 0.05
 FAR = np.int16(32767)
+#: A sketch has 64 * 4 ** band bits, at most 64 * 4 ** 2.
+WIDEST = 2
 WORD = re.compile(r"\w+")
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
-MASK40 = np.uint64((1 << 40) - 1)
+MASK40, MASK32 = np.uint64((1 << 40) - 1), np.uint64((1 << 32) - 1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -60,20 +64,40 @@ class WordCodes(dict):
 CODES = WordCodes()
 
 
-def word_runs(text: str, run: int) -> tuple[int, int, np.ndarray] | None:
-    """(words, code of the word sequence, sorted distinct 40-bit codes of the runs)."""
-    words = WORD.findall(text.lower())
-    n = len(words)
-    if n < run:
-        return None
-    codes = np.fromiter(map(CODES.__getitem__, words), np.uint64, n)
-    h = codes[: n - run + 1].copy()
+def word_runs(texts: list[str], run: int, least_words: int) -> Iterator[tuple[int, int, bytes]]:
+    """(number of the text, code of its word sequence, packed distinct 40-bit codes of its runs) of the texts long enough."""
+    kept, words, many = [], [], []
+    for i, text in enumerate(texts):
+        if len(text) < 2 * least_words - 1:
+            continue
+        found = WORD.findall(text.lower())
+        if len(found) >= max(least_words, run):
+            kept.append(i)
+            words += found
+            many.append(len(found))
+    if not kept:
+        return
+    n = np.array(many, np.int64)
+    codes = np.fromiter(map(CODES.__getitem__, words), np.uint64, len(words))
+    ends = np.cumsum(n)
+    h = codes[: len(codes) - run + 1].copy()
     for i in range(1, run):
-        h = (h ^ (h >> np.uint64(31))) * M1 + codes[i : n - run + 1 + i]
+        h = (h ^ (h >> np.uint64(31))) * M1 + codes[i : len(codes) - run + 1 + i]
     h = mix(h * M2)
-    place = mix(np.arange(1, len(h) + 1, dtype=np.uint64) * M1)
-    seq = int(np.bitwise_xor.reduce(mix(h * M2 + place)) ^ mix(np.array([n], np.uint64) * M2)[0])
-    return n, seq - (1 << 64) if seq >= 1 << 63 else seq, np.unique(h & MASK40)
+    owner = np.repeat(np.arange(len(n)), n)
+    inside = np.arange(len(h)) <= (ends - run)[owner[: len(h)]]
+    h, owner, place = h[inside], owner[: len(h)][inside], (np.arange(len(h)) - (ends - n)[owner[: len(h)]])[inside]
+    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    seq = np.bitwise_xor.reduceat(mix(h * M2 + mix((place + 1).astype(np.uint64) * M1)), first) ^ mix(n.astype(np.uint64) * M2)
+    # distinct runs of each text, in order
+    h &= MASK40
+    order = np.argsort(owner.astype(np.uint64) << np.uint64(40) | h)
+    h, owner = h[order], owner[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]
+    h, owner = h[new], owner[new]
+    packed, cut = pack40(h), np.searchsorted(owner, np.arange(len(n) + 1)) * 5
+    for k, i in enumerate(kept):
+        yield i, int(seq[k].view(np.int64)), packed[cut[k] : cut[k + 1]]
 
 
 def pack40(x: np.ndarray) -> bytes:
@@ -94,13 +118,12 @@ def _sets(recs: DataFrame, run: int, least_words: int) -> DataFrame:
         seen: set[tuple[str, int]] = set()
         for batch in batches:
             members, sets = [], []
-            for tbl, i, text in zip(batch.column("tbl").to_pylist(), batch.column("id").to_pylist(), canonical_array(batch.column("text")).to_pylist()):
-                if (got := word_runs(text, run)) is None or got[0] < least_words:
-                    continue
-                members.append((0, tbl, i, got[1], None))
-                if (tbl, got[1]) not in seen:
-                    seen.add((tbl, got[1]))
-                    sets.append((1, tbl, None, got[1], pack40(got[2])))
+            tbls, ids = batch.column("tbl").to_pylist(), batch.column("id").to_pylist()
+            for k, seq, runs in word_runs(canonical_array(batch.column("text")).to_pylist(), run, least_words):
+                members.append((0, tbls[k], ids[k], seq, None))
+                if (tbls[k], seq) not in seen:
+                    seen.add((tbls[k], seq))
+                    sets.append((1, tbls[k], None, seq, runs))
             columns = list(zip(*members, *sets)) if members else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int8(), pa.string(), pa.int64(), pa.int64(), pa.binary()))], names=names)
 
@@ -121,51 +144,79 @@ class Rows:
 
     def make(self, runs: np.ndarray, owner: np.ndarray, size: np.ndarray, space: np.ndarray, band: np.ndarray, low: bool) -> tuple:
         """Rows of the sets in the segments of `band`; low: probing from the band above, for smaller sets than any of its own."""
-        segments = np.maximum((BAND * 4.0 ** (band + 1) / LOAD).astype(np.int64), 1)
-        seg = (mix(runs * M1) % segments[owner].astype(np.uint64)).astype(np.int64)
-        order = np.lexsort((seg, owner))
-        runs, owner, seg = runs[order], owner[order], seg[order]
+        segments = np.maximum((BAND * 4.0 ** (band + 1) / LOAD).astype(np.int64), 2)
+        at = np.minimum(np.searchsorted(self.known, runs), len(self.known) - 1)
+        often = self.known[at] == runs
+        # frequent and rare runs are in segments of their own
+        seg = (mix(runs * M1) % segments[owner].astype(np.uint64)).astype(np.int64) * 2 + often
+        order = np.argsort(owner << 40 | seg)
+        runs, owner, seg, at, often = runs[order], owner[order], seg[order], at[order], often[order]
         first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (seg[1:] != seg[:-1])])
         many = np.diff(np.r_[first, len(runs)])
-        at = np.minimum(np.searchsorted(self.known, runs), len(self.known) - 1)
-        log = np.where(self.known[at] == runs, self.logs[at], self.logs.min() - 1.0)
+        log = np.where(often, self.logs[at], self.logs.min() - 1.0)
         whole, rarest = np.add.reduceat(log, first), np.minimum.reduceat(log, first)
         one = whole
-        two = np.where(many > 1, np.maximum(np.logaddexp(whole - rarest, whole), one), np.inf)
-        of = owner[first]
+        two = np.maximum(np.logaddexp(whole - rarest, whole), one)
+        of, frequent = owner[first], often[first]
         # units in the order of their cost; a second unit never comes before the first
-        cost, unit_of, seg_of = np.concatenate([one, two]), np.concatenate([of, of]), np.concatenate([np.arange(len(first))] * 2)
-        second = np.repeat([False, True], len(first))
-        keep = np.isfinite(cost)
-        cost, unit_of, seg_of, second = cost[keep], unit_of[keep], seg_of[keep], second[keep]
-        order = np.lexsort((second, cost, unit_of))
-        place = np.arange(len(order)) - np.searchsorted(unit_of[order], unit_of[order])
-        capacity = np.bincount(unit_of, minlength=len(size))
+        useful = whole <= np.log(USELESS)
+        firsts, seconds = np.flatnonzero(useful), np.flatnonzero((many > 1) & (whole - rarest <= np.log(USELESS)))
+        seg_of = np.concatenate([firsts, seconds])
+        second = np.arange(len(seg_of)) >= len(firsts)
+        cost = np.concatenate([one[firsts], two[seconds]])
+        spread = (cost - cost.min()) / max(float(cost.max() - cost.min()), 1e-9) * ((1 << 30) - 1)
+        unit_of = of[seg_of]
+        order = np.argsort(unit_of << 32 | spread.astype(np.int64) << 1 | second)
+        sorted_of = unit_of[order]
+        start = np.searchsorted(sorted_of, np.arange(len(size) + 1))
+        place = np.arange(len(order)) - start[sorted_of]
+        capacity = np.diff(start)
+        rare = np.r_[0, np.cumsum(~frequent[seg_of[order]])]
+        rare_before = rare[:-1] - rare[start[:-1]][sorted_of]
         limit = (BAND * 4 ** (band + 1)).astype(np.int64)  # the band's sizes end below
         h = self.most_unlike(size, np.minimum(size, limit - 1) if low else size)
-        wanted = place < (h + 1 + SLACK)[unit_of[order]]
-        place1, place2 = np.full(len(first), FAR, np.int32), np.full(len(first), FAR, np.int32)
-        chosen = order[wanted]
-        a, b = chosen[~second[chosen]], chosen[second[chosen]]
-        rank = np.empty(len(order), np.int64)
-        rank[order] = place
-        place1[seg_of[a]], place2[seg_of[b]] = rank[a], rank[b]
+        wanted = place < (h + 1 + SLACK)[sorted_of]
+        place1, place2, rare1 = np.full(len(first), FAR, np.int32), np.full(len(first), FAR, np.int32), np.zeros(len(first), np.int32)
+        one_of, two_of = wanted & ~second[order], wanted & second[order]
+        place1[seg_of[order[one_of]]], place2[seg_of[order[two_of]]] = place[one_of], place[two_of]
+        rare1[seg_of[order[one_of]]] = rare_before[one_of]
         token = mix(runs * M2)
         total = np.add.reduceat(token, first)
         name = mix((space[of].astype(np.uint64) * M1 + band[of].astype(np.uint64)) * M2 + seg[first].astype(np.uint64) * M3)
         sig_s = mix(name + total * M1)
         inner = np.repeat(np.arange(len(first)), many)
-        multi = many[inner] > 1
+        multi = (many[inner] > 1) & (whole[inner] - log <= np.log(USELESS))
         sig_d = mix(name[inner[multi]] + (total[inner[multi]] - token[multi]) * M1)
-        sig = np.concatenate([sig_s, sig_d])
-        rec = np.concatenate([of, of[inner[multi]]])
-        p1 = np.concatenate([place1, np.full(len(sig_d), FAR, np.int32)])
-        p2 = np.concatenate([place2, place2[inner[multi]]])
-        kind = np.repeat(np.array([0, 1], np.uint8), [len(sig_s), len(sig_d)])
+        sig = np.concatenate([sig_s[useful], sig_d])
+        rec = np.concatenate([of[useful], of[inner[multi]]])
+        p1 = np.concatenate([place1[useful], np.full(len(sig_d), FAR, np.int32)])
+        p2 = np.concatenate([place2[useful], place2[inner[multi]]])
+        rares = np.concatenate([rare1[useful], rare1[inner[multi]]])
+        rares = np.where((p1 == FAR) & (p2 == FAR), 0, rares // 4 * 4)
+        # a place that every partner's H reaches needn't be told from the first
+        least = np.ceil(size * float(self.t)).astype(np.int64)
+        surely = np.minimum(self.most_unlike(size, least) + 1, capacity)[rec]
+        p1, p2 = np.where(p1 < surely, 0, p1), np.where(p2 < surely, 0, p2)
+        kind = np.repeat(np.array([0, 1], np.uint8), [len(firsts), len(sig_d)])
         if low:
             use = (p1 < FAR) | (p2 < FAR)
-            sig, rec, p1, p2, kind = sig[use], rec[use], p1[use], p2[use], kind[use]
-        return sig, rec, p1, p2, kind | np.uint8(0 if low else 2), np.flatnonzero(capacity <= h), capacity
+            sig, rec, p1, p2, kind, rares = sig[use], rec[use], p1[use], p2[use], kind[use], rares[use]
+        return sig, rec, p1, p2, kind | np.uint8(0 if low else 2), np.flatnonzero(capacity <= h), capacity, rares
+
+
+    def sketches(self, runs: np.ndarray, owner: np.ndarray, band: np.ndarray) -> np.ndarray:
+        """Parities of each set's frequent runs by hash, 64 * 4 ** band bits in 64-bit words, the rest zero.
+
+        Two sets' frequent runs differ in at least as many runs as their parities in bits.
+        """
+        at = np.minimum(np.searchsorted(self.known, runs), len(self.known) - 1)
+        often = self.known[at] == runs
+        words = (1 << 2 * np.minimum(band, WIDEST)).astype(np.int64)
+        of = owner[often]
+        bit = (mix(runs[often] * M3) % (words[of] * 64).astype(np.uint64)).astype(np.int64)
+        out = np.zeros((len(band), int(words.max(initial=1))), np.uint64)
+        np.bitwise_xor.at(out, (of, bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+        return out
 
 
 def bands(size: np.ndarray) -> np.ndarray:
@@ -195,21 +246,40 @@ def _signatures(sets: DataFrame, costs: tuple[np.ndarray, np.ndarray], threshold
                 mine = index[owner] >= 0
                 got = maker.make(runs[mine], index[owner[mine]], size[reach], space[reach], band[reach] - 1, True)
                 # in the space below they are sets of their own, with their own units
-                parts.append((got[0], got[1] + len(held), *got[2:5], reach[got[5]], got[6]))
+                parts.append((got[0], got[1] + len(held), *got[2:5], reach[got[5]], got[6], got[7]))
                 seq, size = np.r_[seq, seq[reach]], np.r_[size, size[reach]]
             capacity = np.concatenate([p[6] for p in parts])
             sig, rec, p1, p2, kind = (np.concatenate([p[i] for p in parts]) for i in range(5))
+            rares = np.concatenate([p[7] for p in parts])
+            bits = maker.sketches(runs, owner, band)
+            wide = np.minimum(band, WIDEST)
+            if len(reach):
+                # below, sketches are as narrow as there: the words of all four quarters fall on the first
+                below, narrower = bits[reach].copy(), np.minimum(band[reach] - 1, WIDEST)
+                for w in np.unique(narrower[narrower < wide[reach]]).tolist():
+                    rows, part = np.flatnonzero((narrower == w) & (wide[reach] > w)), 1 << 2 * w
+                    below[rows, :part] ^= below[rows, part : 2 * part] ^ below[rows, 2 * part : 3 * part] ^ below[rows, 3 * part : 4 * part]
+                    below[rows, part:] = 0
+                bits, wide = np.concatenate([bits, below]), np.r_[wide, narrower]
             bucket = (sig >> np.uint64(40)) % np.uint64(buckets)
-            order = np.lexsort((sig & MASK40, bucket))
-            sig, rec, p1, p2, kind, bucket = sig[order], rec[order], p1[order], p2[order], kind[order], bucket[order]
+            # by set and place, which packs well; the signatures' own order is found where they meet
+            order = np.argsort(bucket << np.uint64(44) | rec.astype(np.uint64) << np.uint64(17) | kind.astype(np.uint64) << np.uint64(15) | np.minimum(p1, p2).astype(np.uint64) & np.uint64(0x7FFF))
+            sig, rec, p1, p2, kind, bucket, rares = sig[order], rec[order], p1[order], p2[order], kind[order], bucket[order], rares[order]
             cut = np.searchsorted(bucket, np.arange(buckets + 1))
             out = []
+            fit = lambda x: x.astype(np.uint16 if x.max(initial=0) < 65536 else np.uint32)
             for k in range(buckets):
                 a, b = cut[k], cut[k + 1]
                 if b > a:
-                    own, local = np.unique(rec[a:b], return_inverse=True)
-                    columns = [np.frombuffer(pack40(sig[a:b] & MASK40), np.uint8).reshape(-1, 5).T, local.astype(np.uint16 if len(own) < 65536 else np.uint32), p1[a:b].astype(np.int16 if p1[a:b].max() <= FAR else np.int32), p2[a:b].astype(np.int16 if p2[a:b].max() <= FAR else np.int32), kind[a:b]]
-                    out.append((k, press.compress(freeze([*columns, seq[own], size[own].astype(np.uint32), capacity[own].astype(np.uint32)]))))
+                    mark = np.zeros(len(size), bool)
+                    mark[rec[a:b]] = True
+                    own = np.flatnonzero(mark)
+                    local = (np.cumsum(mark) - 1)[rec[a:b]]
+                    narrow = wide[own]
+                    # sketches of each width apart
+                    kinds = [bits[own[narrow == w], : 1 << 2 * w].ravel() for w in range(int(narrow.max()) + 1)]
+                    columns = [(sig[a:b] & MASK32).astype(np.uint32), fit(local), fit(p1[a:b]), fit(p2[a:b]), kind[a:b], fit(rares[a:b])]
+                    out.append((k, press.compress(freeze([*columns, seq[own], fit(size[own]), fit(capacity[own]), narrow.astype(np.uint8), *kinds]))))
             short = np.unique(np.concatenate([p[5] for p in parts]))
             if len(short):
                 out.append((-1, press.compress(freeze([seq[short]]))))
@@ -256,18 +326,35 @@ def thaw(b: bytes) -> list[np.ndarray]:
 def meet(packs: list[bytes], threshold: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(larger set, smaller set, units met, units to meet) of one bucket, in chunks."""
     press = zstandard.ZstdDecompressor()
-    parts = []
+    parts, tables, n, m = [], [], 0, 0
     for p in packs:
-        planes, rec, p1, p2, kind, seq, size, capacity = thaw(press.decompress(p))
-        sig = np.zeros((planes.shape[1], 8), np.uint8)
-        sig[:, :5] = planes.T
-        parts.append((sig.view("<u8").ravel(), seq[rec], size[rec].astype(np.int64), p1.astype(np.int32), p2.astype(np.int32), kind, capacity[rec].astype(np.int64)))
-    sig, seq, size, p1, p2, kind, capacity = (np.concatenate([p[i] for p in parts]) for i in range(7))
-    order = np.lexsort((kind, seq, sig))
-    sig, seq, size, p1, p2, kind, capacity = (x[order] for x in (sig, seq, size, p1, p2, kind, capacity))
+        sig, rec, p1, p2, kind, rares, seq, size, capacity, narrow, *kinds = thaw(press.decompress(p))
+        # the words of all sketches in one array, and where each begins
+        flat, begin_at = np.concatenate(kinds), np.zeros(len(seq), np.int64)
+        for w, at in enumerate(np.cumsum([0, *map(len, kinds)])[:-1]):
+            of = np.flatnonzero(narrow == w)
+            begin_at[of] = at + np.arange(len(of)) * (1 << 2 * w)
+        parts.append((sig, rec.astype(np.int64) + n, p1.astype(np.int32), p2.astype(np.int32), kind, rares.astype(np.int32)))
+        tables.append((seq, size.astype(np.int64), capacity.astype(np.int64), flat, narrow.astype(np.int64), begin_at + m))
+        n, m = n + len(seq), m + len(flat)
+    sig, rec, p1, p2, kind, rares = (np.concatenate([p[i] for p in parts]) for i in range(6))
+    seqs, sizes, capacities, bits, widths, sketch_at = (np.concatenate([t[i] for t in tables]) for i in range(6))
+    del parts, tables
+    order = np.argsort(sig)
+    sig = sig[order]
+    # most signatures are one set's alone
+    same = sig[1:] == sig[:-1]
+    alone = ~(np.r_[False, same] | np.r_[same, False])
+    order, sig = order[~alone], sig[~alone]
+    if not len(sig):
+        return
+    order = order[np.lexsort((kind[order], seqs[rec[order]], sig))]
+    sig, rec, p1, p2, kind, rares = np.sort(sig), rec[order], p1[order], p2[order], kind[order], rares[order]
+    seq = seqs[rec]
     # equal word sequences read by several tasks are one set
     new = np.r_[True, (sig[1:] != sig[:-1]) | (seq[1:] != seq[:-1]) | (kind[1:] != kind[:-1])]
-    sig, seq, size, p1, p2, kind, capacity = (x[new] for x in (sig, seq, size, p1, p2, kind, capacity))
+    sig, rec, p1, p2, kind, rares, seq = (x[new] for x in (sig, rec, p1, p2, kind, rares, seq))
+    size, capacity = sizes[rec], capacities[rec]
     begin = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
     length = np.diff(np.r_[begin, len(sig)])
     group = np.repeat(np.arange(len(begin)), length)
@@ -276,8 +363,8 @@ def meet(packs: list[bytes], threshold: Fraction) -> Iterator[tuple[np.ndarray,
     at = 0
     low, high = threshold.numerator, threshold.denominator
     while at < len(probes):
-        # about four million comparisons at a time
-        to = int(np.searchsorted(work, (work[at - 1] if at else 0) + 4_000_000, side="right"))
+        # about a million comparisons at a time
+        to = int(np.searchsorted(work, (work[at - 1] if at else 0) + 1_000_000, side="right"))
         to = max(to, at + 1)
         pr = probes[at:to]
         at = to
@@ -290,36 +377,84 @@ def meet(packs: list[bytes], threshold: Fraction) -> Iterator[tuple[np.ndarray,
         reach = np.minimum(h + 1 + SLACK, capacity[r])
         both = (kind[r] | kind[s]) & 1 == 0
         met = np.where(both, (p1[r] < reach).astype(np.int32) + (p2[r] < reach), (p2[r] < reach).astype(np.int32))
-        hit = met > 0
-        yield seq[r][hit], seq[s][hit], met[hit], (reach - h)[hit]
-
-
-def _meetings(signatures: DataFrame, buckets: int, threshold: Fraction) -> DataFrame:
-    """(a, b, met, need): for each pair and bucket the units met, and how many have to be in all; a = b names a set with too few units."""
+        hit = np.flatnonzero(met > 0)
+        r, s, met, h, reach = r[hit], s[hit], met[hit], h[hit], reach[hit]
+        # the sketches' distance is diff among frequent runs, which leaves the rest of H to the rare ones: of so many rare
+        # units and as many more as have to be met, enough are met in a similar pair, and later units needn't be counted
+        apart, x, y, width = np.zeros(len(r), np.int64), sketch_at[rec[r]], sketch_at[rec[s]], 1 << 2 * widths[rec[s]]
+        for w in range(int(width.max(initial=0))):
+            to_do = np.flatnonzero((width > w) & (apart <= h))
+            if not len(to_do):
+                break
+            apart[to_do] += np.bitwise_count(bits[x[to_do] + w] ^ bits[y[to_do] + w])
+        ok = (apart <= h) & (rares[r] < reach - apart)
+        yield seq[r][ok], seq[s][ok], met[ok].astype(np.int64), (reach - h)[ok]
+
+
+def _candidates(signatures: DataFrame, threshold: Fraction) -> DataFrame:
+    """(a, b): pairs that met as many units as they have to; a = b names a set with too few units."""
+
+    def gather(bucket: int, packs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if bucket == -1:
+            for p in packs:
+                seq = thaw(zstandard.ZstdDecompressor().decompress(p))[0]
+                yield listed(seq, seq, np.ones(len(seq), np.int64), np.ones(len(seq), np.int64))
+            return
+        held, n = [], 0
+        for part in meet(packs, threshold):
+            held.append(part)
+            n += len(part[0])
+            if n > 1_000_000:
+                yield listed(*(np.concatenate(x) for x in zip(*held)))
+                held, n = [], 0
+        if n:
+            yield listed(*(np.concatenate(x) for x in zip(*held)))
+
+    def listed(a: np.ndarray, b: np.ndarray, met: np.ndarray, need: np.ndarray) -> pa.RecordBatch:
+        """One row a larger set: its partners, each as often as units were met."""
+        order = np.lexsort((a, need))
+        a, b, need, met = a[order], b[order], need[order], met[order]
+        first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (need[1:] != need[:-1])]) if len(a) else np.zeros(0, np.int64)
+        many = np.add.reduceat(met, first) if len(a) else met
+        return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(need[first].astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(many)].astype(np.int32)), pa.array(np.repeat(b, met)))], names=["a", "need", "bs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, packs = None, []
-
-        def emit(bucket: int | None, packs: list[bytes]) -> Iterator[pa.RecordBatch]:
-            if not packs:
-                return
-            if bucket == -1:
-                for p in packs:
-                    seq = thaw(zstandard.ZstdDecompressor().decompress(p))[0]
-                    yield pa.RecordBatch.from_arrays([pa.array(seq), pa.array(seq), pa.array(np.ones(len(seq), np.int32)), pa.array(np.ones(len(seq), np.int32))], names=["a", "b", "met", "need"])
-                return
-            for a, b, met, need in meet(packs, threshold):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(met.astype(np.int32)), pa.array(need.astype(np.int32))], names=["a", "b", "met", "need"])
-
         for batch in batches:
             for k, p in zip(batch.column("bucket").to_pylist(), batch.column("pack").to_pylist()):
-                if k != now:
-                    yield from emit(now, packs)
-                    now, packs = k, []
+                if k != now and packs:
+                    yield from gather(now, packs)
+                    packs = []
+                now = k
                 packs.append(p)
-        yield from emit(now, packs)
+        if packs:
+            yield from gather(now, packs)
 
-    return signatures.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a bigint, b bigint, met int, need int")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            a, need = batch.column("a").to_numpy(zero_copy_only=False), batch.column("need").to_numpy(zero_copy_only=False)
+            lists = batch.column("bs")
+            many = np.diff(lists.offsets.to_numpy())
+            rows = (np.repeat(a, many), lists.flatten().to_numpy(zero_copy_only=False), np.repeat(need, many))
+            if kept is not None:
+                rows = tuple(np.concatenate(x) for x in zip(kept, rows))
+            # the last set may go on in the next batch
+            cut = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
+            kept = tuple(x[cut:] for x in rows)
+            yield enough(*(x[:cut] for x in rows))
+        if kept is not None:
+            yield enough(*kept)
+
+    def enough(a: np.ndarray, b: np.ndarray, need: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((b, a))
+        a, b, need = a[order], b[order], need[order]
+        first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
+        ok = first[np.diff(np.r_[first, len(a)]) >= need[first]]
+        return pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
+
+    met = signatures.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a bigint, need int, bs array<bigint>")
+    return met.repartition("a").sortWithinPartitions("a").mapInArrow(count, "a bigint, b bigint")
 
 
 def _costs(sets: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
@@ -343,14 +478,13 @@ def similar_sets(recs: DataFrame, run: int = RUN, threshold: float = THRESHOLD,
     read = settle(_sets(recs, run, least_words), "runs")
     members, sets = read.where("kind = 0").select("tbl", "id", "seq").distinct(), read.where("kind = 1").select("tbl", "seq", "runs")
     costs = _costs(sets, SAMPLE_SETS)
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = _meetings(_signatures(sets, costs, t, buckets), buckets, t).groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("need").alias("need"))
-    candidates = settle(met.where("met >= need or a = b"), "candidates")
-    wanted = candidates.where("a <> b")
-    one = sets
-    ids = wanted.select(F.explode(F.array("a", "b")).alias("seq")).distinct()
-    needed = settle(one.join(ids, "seq", "left_semi").groupBy("tbl", "seq").agg(F.first("runs").alias("runs")), "needed")
-    left, right = needed.select(F.col("tbl"), F.col("seq").alias("a"), F.col("runs").alias("x")), needed.select(F.col("tbl").alias("tbl_2"), F.col("seq").alias("b"), F.col("runs").alias("y"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    candidates = settle(_candidates(_signatures(sets, costs, t, buckets), t), "candidates")
+    wanted = candidates.where("a <> b").select("a", "b")
+    # the signatures are met; their shuffle files may go
+    release(spark)
+    needed = _passing(sets, wanted.select(F.explode(F.array("a", "b")).alias("seq"))).repartition("seq").groupBy("tbl", "seq").agg(F.first("runs").alias("runs"))
+    left, right = needed.select("tbl", F.col("seq").alias("a"), F.col("runs").alias("x")), needed.select(F.col("tbl").alias("tbl_2"), F.col("seq").alias("b"), F.col("runs").alias("y"))
     pairs = _verified(wanted.join(left, "a").join(right, "b").where("tbl = tbl_2").select("tbl", "a", "b", "x", "y"), threshold)
     short = [r.a for r in candidates.where("a = b").limit(10_001).collect()]
     if short:
@@ -358,6 +492,42 @@ def similar_sets(recs: DataFrame, run: int = RUN, threshold: float = THRESHOLD,
     return members, pairs
 
 
+def _passing(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """The sets that a Bloom filter of the ids lets pass: all with one of the ids and few others, before anything is shuffled.
+
+    The filter has at most 2 ** 26 bits, 8 MB, whatever the number of ids; beyond that it lets more pass.
+    """
+    n = max(ids.count(), 1)
+    log2 = min(26, max(10, int(np.ceil(np.log2(12 * n)))))
+
+    def places(codes: np.ndarray) -> list[np.ndarray]:
+        x = codes.view(np.uint64)
+        return [(mix(x * m) >> np.uint64(64 - log2)).astype(np.int64) for m in (M1, M2, M3)]
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << log2, bool)
+        for batch in batches:
+            for at in places(batch.column("seq").to_numpy(zero_copy_only=False)):
+                bits[at] = True
+        words = np.packbits(bits).view(np.int64)
+        used = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(words[used])], names=["k", "word"])
+
+    rows = ids.select("seq").mapInArrow(mark, "k bigint, word bigint").groupBy("k").agg(F.bit_or("word").alias("word")).toPandas()
+    words = np.zeros((1 << log2) // 64, np.int64)
+    words[rows["k"].to_numpy()] = rows["word"].to_numpy()
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = words.view(np.uint8)
+        for batch in batches:
+            ok = np.ones(batch.num_rows, bool)
+            for at in places(batch.column("seq").to_numpy(zero_copy_only=False)):
+                ok &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+            yield batch.filter(pa.array(ok))
+
+    return sets.select("tbl", "seq", "runs").mapInArrow(keep, "tbl string, seq bigint, runs binary")
+
+
 def jaccard(x: bytes, y: bytes) -> float:
     a, b = unpack40(x), unpack40(y)
     both = len(np.intersect1d(a, b, assume_unique=True))
