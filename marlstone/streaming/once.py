@@ -1,6 +1,6 @@
 """Exactly one copy of every message that was delivered at least once.
 
-A stream keyed by the message's identifier keeps each identifier's first delivery in the state store. Whatever arrives for a
+A stream keeps each identifier's first delivery in the state store, the identifiers shared out over keyed entries. Whatever arrives for a
 known identifier settles one delivery as a repeat: the newcomer, or, if the newcomer is the earlier one, the delivery that
 was held for the first so far. State is given up when the watermark passes the message's own event time, which is part of its
 identifier: whatever is late by that measure may belong to an identifier that was given up, isn't seen by the state store, and
@@ -20,7 +20,10 @@ from marlstone.functions import web
 from marlstone.session import shared_path
 
 LEDGER = "message string, moment timestamp, delivery_id bigint, received_at timestamp, status string"
-STATE = "delivery_id bigint, received_at timestamp"
+STATE = "messages array<string>, moments array<bigint>, deliveries array<bigint>, receipts array<bigint>"
+#: Identifiers are held in so many state entries, so that one call settles many of them; raise it with the number of
+#: identifiers within the watermark's delay.
+SHARES = 512
 
 
 def keyed(news: DataFrame) -> DataFrame:
@@ -40,32 +43,42 @@ def keyed(news: DataFrame) -> DataFrame:
 
 
 def settle_arrivals(key: tuple, arrivals: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State function: the held first delivery against the arrivals of one batch."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    held = state.get if state.exists else None
-    rows = [(r, d, m) for part in arrivals for d, r, m in zip(part["delivery_id"].tolist(), part["received_at"].tolist(), part["moment"].tolist())]
-    moment = rows[0][2]
-    rows = sorted({(r, d) for r, d, _ in rows})
+    """State function: the held first deliveries of one share of the identifiers against the arrivals of one batch."""
+    watermark = state.getCurrentWatermarkMs() * 1000
+    held = {}
+    if state.exists:
+        held = {m: (r, d, t) for m, t, d, r in zip(*state.get) if t >= watermark}
     out = []
-    if held is None or rows[0] < (held[1], held[0]):
-        if held is not None:
-            out.append((held[0], held[1], "repeat"))
-        first, rows = rows[0], rows[1:]
-        out.append((first[1], first[0], "first"))
-        state.update((first[1], first[0]))
-    out += [(d, r, "repeat") for r, d in rows]
-    state.setTimeoutTimestamp(max(int(moment.timestamp() * 1000), state.getCurrentWatermarkMs()) + 1)
-    yield pd.DataFrame({"message": key[0], "moment": moment, "delivery_id": [x[0] for x in out], "received_at": [x[1] for x in out], "status": [x[2] for x in out]})
-
-
-def ledger(arriving: DataFrame, path: str, delay: str = "14 days") -> DataFrame:
+    for part in arrivals:
+        rows = zip(part["received"].tolist(), part["delivery_id"].tolist(), part["message"].tolist(), part["event"].tolist())
+        for r, d, m, t in sorted(rows):
+            if t <= watermark:
+                continue  # its identifier may have been given up just now: left to the look-up
+            first = held.get(m)
+            if first is None:
+                held[m] = (r, d, t)
+                out.append((m, t, d, r, "first"))
+            elif (r, d) < first[:2]:
+                out.append((m, t, first[1], first[0], "repeat"))
+                held[m] = (r, d, t)
+                out.append((m, t, d, r, "first"))
+            elif (r, d) != first[:2]:
+                out.append((m, t, d, r, "repeat"))
+    if held:
+        state.update(([*held], [x[2] for x in held.values()], [x[1] for x in held.values()], [x[0] for x in held.values()]))
+        state.setTimeoutTimestamp(max(max(x[2] for x in held.values()), watermark) // 1000 + 1)
+    elif state.exists:
+        state.remove()
+    if out:
+        columns = list(zip(*out))
+        yield pd.DataFrame({"message": columns[0], "moment": pd.to_datetime(columns[1], unit="us"), "delivery_id": columns[2], "received_at": pd.to_datetime(columns[3], unit="us"), "status": columns[4]})
+
+
+def ledger(arriving: DataFrame, path: str, delay: str = "14 days", shares: int = SHARES) -> DataFrame:
     """Runs the stream of keyed deliveries to its present end; (message, moment, delivery_id, received_at, status) as settled."""
     spark = arriving.sparkSession
-    settled = (
-        arriving.withWatermark("moment", delay).groupBy("message").applyInPandasWithState(settle_arrivals, LEDGER, STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    )
+    marked = arriving.withWatermark("moment", delay).select("message", "moment", "delivery_id", F.unix_micros("received_at").alias("received"), F.unix_micros("moment").alias("event"), F.pmod(F.xxhash64("message"), F.lit(shares)).alias("share"))
+    settled = marked.groupBy("share").applyInPandasWithState(settle_arrivals, LEDGER, STATE, "append", GroupStateTimeout.EventTimeTimeout)
     query = settled.writeStream.format("parquet").outputMode("append").option("path", f"{path}/ledger").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
     if (e := query.exception()) is not None:
