@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.operators import grid
+from marlstone.plans import market
 from marlstone.session import table
 from marlstone.streaming import once
 
@@ -28,13 +29,22 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_grid(spark, d).where("filled and value is not null").select("ticker", "venue", F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
+BOOKS = (market.BOOK,)
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return p6_grid(spark, d)
+    return market.monthly_features(spark, d)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p4_once": p4_once, "p6_found": p6_found, "p6_grid": p6_grid}
+    out = {"p4_found": p4_found, "p4_once": p4_once, "p6_found": p6_found, "p6_grid": p6_grid}
+    for book in BOOKS:
+        out |= book.queries
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out: dict[str, str] = {}
+    for book in BOOKS:
+        out |= book.sql
+    return out
