@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from marlstone.llm import canonical
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    rows = " UNION ALL ".join(f"SELECT DISTINCT '{t}' AS tbl, {k} AS id, text FROM {t} WHERE trim(coalesce(text, '')) <> ''" for t, k in (("documents", "doc_id"), ("social_post", "id"), ("news_item", "delivery_id")))
+    looks = f"r AS ({rows}), l AS (SELECT tbl, id, text AS stored, {canonical.statement()} AS look FROM r)"
+    pairs = "SELECT DISTINCT a.tbl, a.id AS id_1, b.id AS id_2 FROM l a JOIN l b ON a.tbl = b.tbl AND a.look = b.look AND a.id < b.id WHERE a.stored <> b.stored"
+    return {"p2_found": f"WITH {looks} {pairs}"}
