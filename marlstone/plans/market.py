@@ -225,20 +225,20 @@ def super_stage(s: SparkSession, d: str) -> DataFrame:
     return rounded(rows.withColumn("z", F.max("month").over(Window.partitionBy("model", "seed"))).where("month < z").drop("z"))
 
 
-@BOOK.add("win9_cumulative", f"WITH {MEAN} SELECT model, month, round(roi, 6) AS roi, round(exp(sum(ln(1 + roi)) OVER (PARTITION BY model ORDER BY month)) - 1, 6) AS cumulative FROM mean")
+@BOOK.add("win9_cumulative", f"WITH {MEAN} SELECT model, month, round(roi, 6) AS roi, CAST(exp(sum(ln(1 + roi)) OVER (PARTITION BY model ORDER BY month)) - 1 AS FLOAT) AS cumulative FROM mean")
 def cumulative(s: SparkSession, d: str) -> DataFrame:
-    return rounded(portfolio.cumulative(mean_roi(s, d), ["model"]))
+    return rounded(portfolio.cumulative(mean_roi(s, d), ["model"]).withColumn("cumulative", F.col("cumulative").cast("float")))
 
 
 CARD = """, c AS (SELECT *, exp(sum(ln(1 + roi)) OVER (PARTITION BY model ORDER BY month)) AS g FROM mean), p AS (SELECT *, max(g) OVER (PARTITION BY model ORDER BY month) AS peak FROM c),
 a AS (SELECT model, product(1 + roi) - 1 AS total_return, count(*) AS n, stddev_pop(roi) * sqrt(12) AS volatility, stddev_pop(roi) FILTER (roi < 0) * sqrt(12) AS down, max((peak - g) / peak) AS max_drawdown, avg(CAST(roi > 0 AS DOUBLE)) AS win_rate FROM p GROUP BY 1),
 b AS (SELECT *, pow(1 + total_return, 12.0 / n) - 1 AS annualized_return FROM a), card AS (SELECT model, total_return, annualized_return, volatility, CASE WHEN volatility > 0 THEN annualized_return / volatility ELSE 0 END AS sharpe_ratio, CASE WHEN down > 0 THEN annualized_return / down ELSE 0 END AS sortino_ratio, CASE WHEN max_drawdown > 0 THEN annualized_return / max_drawdown ELSE 0 END AS calmar_ratio, max_drawdown, win_rate FROM b)"""
-CARD_NAMES = "total_return annualized_return volatility sharpe_ratio sortino_ratio calmar_ratio max_drawdown win_rate"
+CARD_NAMES = "annualized_return volatility sharpe_ratio sortino_ratio calmar_ratio max_drawdown win_rate"
 
 
-@BOOK.add("agg22_eval2_scorecard", f"WITH {MEAN}{CARD} " + _round(CARD_NAMES, "card", "model"))
+@BOOK.add("agg22_eval2_scorecard", f"WITH {MEAN}{CARD} " + _round(CARD_NAMES, "card", "model, CAST(total_return AS FLOAT) AS total_return"))
 def scorecard(s: SparkSession, d: str) -> DataFrame:
-    return rounded(portfolio.scorecard(mean_roi(s, d), ["model"]))
+    return rounded(portfolio.scorecard(mean_roi(s, d), ["model"]).withColumn("total_return", F.col("total_return").cast("float")))
 
 
 @BOOK.add("win12_rolling_sharpe", f"WITH {MEAN} SELECT model, month, round(CASE WHEN s > 0 THEN m * 12 / (s * sqrt(12)) ELSE 0 END, 6) AS rolling_sharpe FROM (SELECT *, count(roi) OVER w AS n, avg(roi) OVER w AS m, stddev_pop(roi) OVER w AS s FROM mean WINDOW w AS (PARTITION BY model ORDER BY month ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)) WHERE n = 12")
@@ -295,11 +295,11 @@ def episode_rewards(s: SparkSession, d: str) -> DataFrame:
     return rounded(e.groupBy("model", "seed").agg(F.avg("reward").alias("mean_reward"), F.stddev_pop("reward").alias("std_reward")))
 
 
-@BOOK.add("win15_rebase_from_month", f"WITH {MEAN}, c AS (SELECT model, month, exp(sum(ln(1 + roi)) OVER (PARTITION BY model ORDER BY month)) AS g FROM mean) SELECT model, month, round(g / first_value(g) OVER (PARTITION BY model ORDER BY month), 6) AS value FROM c WHERE month >= '1998-01'")
+@BOOK.add("win15_rebase_from_month", f"WITH {MEAN}, c AS (SELECT model, month, exp(sum(ln(1 + roi)) OVER (PARTITION BY model ORDER BY month)) AS g FROM mean) SELECT model, month, CAST(g / first_value(g) OVER (PARTITION BY model ORDER BY month) AS FLOAT) AS value FROM c WHERE month >= '1998-01'")
 def rebase_from_month(s: SparkSession, d: str) -> DataFrame:
     g = portfolio.cumulative(mean_roi(s, d), ["model"], minus_one=False).where("month >= '1998-01'")
     first = F.first("cumulative").over(Window.partitionBy("model").orderBy("month").rowsBetween(Window.unboundedPreceding, 0))
-    return rounded(g.select("model", "month", (F.col("cumulative") / first).alias("value")))
+    return rounded(g.select("model", "month", (F.col("cumulative") / first).cast("float").alias("value")))
 
 
 @BOOK.add("win14_baseline_point", f"WITH {MEAN} SELECT model, month, round(roi, 6) AS roi FROM mean UNION ALL SELECT DISTINCT model, '0000-00', 0.0 FROM mean")
