@@ -33,8 +33,6 @@ SLACK = 2
 BAND, LOAD = 16, 1.2
 #: Costs are estimated from the run counts of about so many sets.
 SAMPLE_SETS = 60_000
-#: Segments whose runs are expected together in a greater share of all sets are no use and neither probed nor indexed.
-USELESS = 0.05
 FAR = np.int16(32767)
 #: A sketch has 64 * 4 ** band bits, at most 64 * 4 ** 2.
 WIDEST = 2
@@ -159,11 +157,10 @@ class Rows:
         two = np.maximum(np.logaddexp(whole - rarest, whole), one)
         of, frequent = owner[first], often[first]
         # units in the order of their cost; a second unit never comes before the first
-        useful = whole <= np.log(USELESS)
-        firsts, seconds = np.flatnonzero(useful), np.flatnonzero((many > 1) & (whole - rarest <= np.log(USELESS)))
-        seg_of = np.concatenate([firsts, seconds])
-        second = np.arange(len(seg_of)) >= len(firsts)
-        cost = np.concatenate([one[firsts], two[seconds]])
+        seconds = np.flatnonzero(many > 1)
+        seg_of = np.concatenate([np.arange(len(first)), seconds])
+        second = np.arange(len(seg_of)) >= len(first)
+        cost = np.concatenate([one, two[seconds]])
         spread = (cost - cost.min()) / max(float(cost.max() - cost.min()), 1e-9) * ((1 << 30) - 1)
         unit_of = of[seg_of]
         order = np.argsort(unit_of << 32 | spread.astype(np.int64) << 1 | second)
@@ -185,19 +182,19 @@ class Rows:
         name = mix((space[of].astype(np.uint64) * M1 + band[of].astype(np.uint64)) * M2 + seg[first].astype(np.uint64) * M3)
         sig_s = mix(name + total * M1)
         inner = np.repeat(np.arange(len(first)), many)
-        multi = (many[inner] > 1) & (whole[inner] - log <= np.log(USELESS))
+        multi = (many[inner] > 1)
         sig_d = mix(name[inner[multi]] + (total[inner[multi]] - token[multi]) * M1)
-        sig = np.concatenate([sig_s[useful], sig_d])
-        rec = np.concatenate([of[useful], of[inner[multi]]])
-        p1 = np.concatenate([place1[useful], np.full(len(sig_d), FAR, np.int32)])
-        p2 = np.concatenate([place2[useful], place2[inner[multi]]])
-        rares = np.concatenate([rare1[useful], rare1[inner[multi]]])
+        sig = np.concatenate([sig_s, sig_d])
+        rec = np.concatenate([of, of[inner[multi]]])
+        p1 = np.concatenate([place1, np.full(len(sig_d), FAR, np.int32)])
+        p2 = np.concatenate([place2, place2[inner[multi]]])
+        rares = np.concatenate([rare1, rare1[inner[multi]]])
         rares = np.where((p1 == FAR) & (p2 == FAR), 0, rares // 4 * 4)
         # a place that every partner's H reaches needn't be told from the first
         least = np.ceil(size * float(self.t)).astype(np.int64)
         surely = np.minimum(self.most_unlike(size, least) + 1, capacity)[rec]
         p1, p2 = np.where(p1 < surely, 0, p1), np.where(p2 < surely, 0, p2)
-        kind = np.repeat(np.array([0, 1], np.uint8), [len(firsts), len(sig_d)])
+        kind = np.repeat(np.array([0, 1], np.uint8), [len(sig_s), len(sig_d)])
         if low:
             use = (p1 < FAR) | (p2 < FAR)
             sig, rec, p1, p2, kind, rares = sig[use], rec[use], p1[use], p2[use], kind[use], rares[use]
@@ -461,7 +458,7 @@ def _costs(sets: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
     """Runs that more than one set of a sample has, and the logarithm of their share; bounded by the sample's size."""
     n = sets.count()
     share = min(1.0, sample / max(n, 1))
-    rows = sets.where(F.pmod(F.xxhash64("seq"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("runs").limit(2 * sample).toPandas()["runs"].tolist()
+    rows = sets.where(F.pmod(F.xxhash64("seq"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("tbl", "seq", "runs").limit(2 * sample).toPandas().drop_duplicates(["tbl", "seq"])["runs"].tolist()
     if not rows:
         return np.zeros(1, np.uint64), np.zeros(1)
     runs, counts = np.unique(unpack40(b"".join(map(bytes, rows))), return_counts=True)
