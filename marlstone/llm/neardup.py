@@ -24,6 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.bloom import one_of
 from marlstone.llm.canonical import canonical_array
 from marlstone.session import release, settle
 
@@ -32,7 +33,7 @@ SLACK = 2
 #: Sizes of band k are BAND * 4 ** k up to four times that; its segments are so many that the largest sets have LOAD runs in each.
 BAND, LOAD = 16, 1.2
 #: Costs are estimated from the run counts of about so many sets.
-SAMPLE_SETS = 60_000
+SAMPLE_SETS = 100_000
 FAR = np.int16(32767)
 #: A sketch has 64 * 4 ** band bits, at most 64 * 4 ** 2.
 WIDEST = 2
@@ -189,7 +190,7 @@ class Rows:
         p1 = np.concatenate([place1, np.full(len(sig_d), FAR, np.int32)])
         p2 = np.concatenate([place2, place2[inner[multi]]])
         rares = np.concatenate([rare1, rare1[inner[multi]]])
-        rares = np.where((p1 == FAR) & (p2 == FAR), 0, rares // 4 * 4)
+        rares = np.where((p1 == FAR) & (p2 == FAR), 0, rares // 2 * 2)
         # a place that every partner's H reaches needn't be told from the first
         least = np.ceil(size * float(self.t)).astype(np.int64)
         surely = np.minimum(self.most_unlike(size, least) + 1, capacity)[rec]
@@ -478,9 +479,9 @@ def similar_sets(recs: DataFrame, run: int = RUN, threshold: float = THRESHOLD,
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     candidates = settle(_candidates(_signatures(sets, costs, t, buckets), t), "candidates")
     wanted = candidates.where("a <> b").select("a", "b")
-    # the signatures are met; their shuffle files may go
+    # the signatures have met; their shuffle files may go. Only the sets of candidates travel from here on
     release(spark)
-    needed = _passing(sets, wanted.select(F.explode(F.array("a", "b")).alias("seq"))).repartition("seq").groupBy("tbl", "seq").agg(F.first("runs").alias("runs"))
+    needed = sets.where(one_of(wanted.select(F.explode(F.array("a", "b")).alias("seq")))("seq")).repartition("seq").groupBy("tbl", "seq").agg(F.first("runs").alias("runs"))
     left, right = needed.select("tbl", F.col("seq").alias("a"), F.col("runs").alias("x")), needed.select(F.col("tbl").alias("tbl_2"), F.col("seq").alias("b"), F.col("runs").alias("y"))
     pairs = _verified(wanted.join(left, "a").join(right, "b").where("tbl = tbl_2").select("tbl", "a", "b", "x", "y"), threshold)
     short = [r.a for r in candidates.where("a = b").limit(10_001).collect()]
@@ -489,42 +490,6 @@ def similar_sets(recs: DataFrame, run: int = RUN, threshold: float = THRESHOLD,
     return members, pairs
 
 
-def _passing(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """The sets that a Bloom filter of the ids lets pass: all with one of the ids and few others, before anything is shuffled.
-
-    The filter has at most 2 ** 26 bits, 8 MB, whatever the number of ids; beyond that it lets more pass.
-    """
-    n = max(ids.count(), 1)
-    log2 = min(26, max(10, int(np.ceil(np.log2(12 * n)))))
-
-    def places(codes: np.ndarray) -> list[np.ndarray]:
-        x = codes.view(np.uint64)
-        return [(mix(x * m) >> np.uint64(64 - log2)).astype(np.int64) for m in (M1, M2, M3)]
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << log2, bool)
-        for batch in batches:
-            for at in places(batch.column("seq").to_numpy(zero_copy_only=False)):
-                bits[at] = True
-        words = np.packbits(bits).view(np.int64)
-        used = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(words[used])], names=["k", "word"])
-
-    rows = ids.select("seq").mapInArrow(mark, "k bigint, word bigint").groupBy("k").agg(F.bit_or("word").alias("word")).toPandas()
-    words = np.zeros((1 << log2) // 64, np.int64)
-    words[rows["k"].to_numpy()] = rows["word"].to_numpy()
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = words.view(np.uint8)
-        for batch in batches:
-            ok = np.ones(batch.num_rows, bool)
-            for at in places(batch.column("seq").to_numpy(zero_copy_only=False)):
-                ok &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-            yield batch.filter(pa.array(ok))
-
-    return sets.select("tbl", "seq", "runs").mapInArrow(keep, "tbl string, seq bigint, runs binary")
-
-
 def jaccard(x: bytes, y: bytes) -> float:
     a, b = unpack40(x), unpack40(y)
     both = len(np.intersect1d(a, b, assume_unique=True))

@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.arrowkit import code_points, flat_bytes, slices
-from marlstone.session import settle
+from marlstone.llm.bloom import one_of
+from marlstone.session import release, settle
 
 LEAST = 200
 Q, W = 100, 101  # q-gram and window; Q + W - 1 may be LEAST at most
@@ -167,15 +168,19 @@ class Bucket:
                     yield t1, t2, p1 - back, p1 + Q + ahead, p2 - back
 
 
-def _blocks(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(members: tid, key) and (blocks: anchor, hot, tid, pos, gram, back, ahead) of the anchors that several texts have."""
+def _blocks(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, bool, DataFrame]:
+    """(members: tid, key), whether an anchor is hot, and (blocks: anchor, hot, tid, pos, gram, back, ahead) of the anchors that several texts have."""
     rows = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull() & (F.length(text) >= LEAST))
     rows = rows.select(F.col(key).alias("doc"), F.col(text).alias("text"), F.xxhash64(text, F.length(text)).alias("tid"))
     members = rows.select("tid", "doc").distinct()
     heads = members.groupBy("tid").agg(F.min("doc").alias("doc"))
     found = settle(_anchors(rows.select("tid", "text")), "anchors")
     several = found.groupBy("anchor").agg(F.min("tid").alias("a"), F.max("tid").alias("b"), F.count("*").alias("n")).where("a <> b").select("anchor", (F.col("n") > HOT).alias("hot"))
-    places = found.join(several, "anchor").select("tid", "anchor", "hot", "pos").distinct().groupBy("tid").agg(F.collect_list(F.struct("anchor", "hot", "pos")).alias("places"))
+    places = settle(found.join(several, "anchor").select("tid", "anchor", "hot", "pos").distinct().groupBy("tid").agg(F.collect_list(F.struct("anchor", "hot", "pos")).alias("places")), "places")
+    release(docs.sparkSession)
+    any_hot = not places.where(F.exists("places", lambda p: p["hot"])).isEmpty()
+    # only texts with a shared anchor travel
+    rows = rows.where(one_of(places.select("tid"))("tid"))
     read = places.join(heads, "tid").join(rows.select("doc", "tid", "text"), ["doc", "tid"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,13 +204,13 @@ def _blocks(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]
         if kept:
             yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
 
-    return members, read.select("tid", "places", "text").mapInArrow(gathered, "anchor bigint, hot boolean, tid bigint, pos int, gram string, back string, ahead string")
+    return members, any_hot, read.select("tid", "places", "text").mapInArrow(gathered, "anchor bigint, hot boolean, tid bigint, pos int, gram string, back string, ahead string")
 
 
 FACTORS = "tid bigint, other bigint, begins int, ends int, other_begins int"
 
 
-def factors(blocks: DataFrame) -> DataFrame:
+def factors(blocks: DataFrame, any_hot: bool) -> DataFrame:
     """(tid, other, begins, ends, other_begins): the duplicate spans found at each anchor, tid < other."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,6 +238,8 @@ def factors(blocks: DataFrame) -> DataFrame:
         yield flush()
 
     cold = blocks.where("not hot").repartition("anchor").sortWithinPartitions("anchor").select("anchor", "tid", "pos", "gram", "back", "ahead").mapInArrow(parse, FACTORS)
+    if not any_hot:
+        return cold
     # anchors of very many texts: all windows of LEAST characters around them, met by equality, in as many tasks as needed
     whole = F.concat(F.reverse("back"), F.col("gram"), F.col("ahead"))
     n = F.length("back")
@@ -248,8 +255,8 @@ def shared_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     Null ids and null texts give no pair, nor do texts below LEAST characters; rows that repeat an id are one text each.
     Equal texts are parsed once and stand for each other at the end.
     """
-    members, blocks = _blocks(docs, key, text)
-    met = factors(blocks).select("tid", "other").distinct()
+    members, any_hot, blocks = _blocks(docs, key, text)
+    met = factors(blocks, any_hot).select("tid", "other").distinct()
     one, two = members.select("tid", F.col("doc").alias("a")), members.select(F.col("tid").alias("other"), F.col("doc").alias("b"))
     across = met.join(one, "tid").join(two, "other").select("a", "b")
     copies = one.join(two, (F.col("tid") == F.col("other")) & (F.col("a") < F.col("b"))).select("a", "b")
@@ -263,8 +270,8 @@ def shared_part(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     One row per row with a text; spans are the disjoint stretches (begins, ends) of factors that touch or overlap. A text of
     which there are copies is shared from end to end if it has LEAST characters. Null texts are left out; empty texts share nothing.
     """
-    _, blocks = _blocks(docs, key, text)
-    found = factors(blocks)
+    _, any_hot, blocks = _blocks(docs, key, text)
+    found = settle(factors(blocks, any_hot), "factors")
     both = found.select("tid", "begins", "ends").unionByName(found.select(F.col("other").alias("tid"), F.col("other_begins").alias("begins"), (F.col("other_begins") + F.col("ends") - F.col("begins")).alias("ends"))).distinct()
     by = Window.partitionBy("tid").orderBy("begins", "ends")
     far = F.max("ends").over(by.rowsBetween(Window.unboundedPreceding, -1))
