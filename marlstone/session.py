@@ -30,6 +30,14 @@ def local_session(cores: int | str = 8, name: str = "marlstone") -> SparkSession
     )
 
 
+def reach_package(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where it lies, whatever folder the driver was started in."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = spark.sparkContext.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory; the scan prunes columns and takes pushed filters."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
