@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from marlstone.functions import text as T
 
 
+def replaced(rows: DataFrame, column: str, value: Column) -> DataFrame:
+    """rows with the column replaced, the value being computed once.
+
+    The generator keeps later filters from being moved below it, where each would compute the value anew.
+    """
+    return rows.select(*[F.explode(F.array(value)).alias(column) if c == column else F.col(c) for c in rows.columns])
+
+
 def clean_posts(posts: DataFrame, key: str = "id", text: str = "text", group: str = "file_name", min_words: int = 5, max_words: int = 500, letters: float = 0.7, tags: float = 0.75, unicode_form: bool = True, prefix: str = "[STOCKTWITS]") -> DataFrame:
     """The posts that pass the cleaner, with their cleaned text; of equal texts of a group the first by key stays.
 
@@ -16,7 +24,7 @@ def clean_posts(posts: DataFrame, key: str = "id", text: str = "text", group: st
     t = F.col(text)
     rows = posts.where(t.isNotNull() & (F.trim(t) != ""))
     body = T.nfkc(t) if unicode_form else t
-    rows = rows.withColumn(text, T.keep_allowed(T.squeeze(T.strip_web(body)))).where(T.is_english(t))
+    rows = replaced(rows, text, T.keep_allowed(T.squeeze(T.strip_web(body)))).where(T.is_english(t))
     first = F.row_number().over(Window.partitionBy(group, text).orderBy(key))
     rows = rows.withColumn("_n", first).where("_n = 1").drop("_n")
     rows = rows.where((T.n_words(t) >= min_words) & (F.coalesce(T.letter_share(t), F.lit(0.0)) >= letters) & (T.tag_share(t) <= tags))
@@ -81,5 +89,5 @@ def first_per(rows: DataFrame, keys: list[str], order: list[str], k: int) -> Dat
 def clean_articles(pages: DataFrame, text: str = "text", min_words: int = 50, max_words: int = 5000, letters: float = 0.7) -> DataFrame:
     """Crawled texts that pass the article cleaner: boilerplate and furniture gone, English, long enough, with a sentence."""
     t = F.col(text)
-    rows = pages.where(F.length(F.trim(t)) >= 20).withColumn(text, T.squeeze(T.content_lines(T.strip_boilerplate(T.ascii_quotes(t)))))
+    rows = replaced(pages.where(F.length(F.trim(t)) >= 20), text, T.squeeze(T.content_lines(T.strip_boilerplate(T.ascii_quotes(t)))))
     return rows.where(T.crawled_english(t) & T.n_words(t).between(min_words, max_words) & (T.letter_share(t) >= letters) & (T.sentences(t) >= 1)).withColumn("content_hash", T.content_key(t))
