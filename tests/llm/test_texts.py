@@ -86,6 +86,14 @@ def test_cut_texts(spark):
     assert truncation.truncated(recs(spark, rows[:0])).count() == 0
 
 
+def test_a_fragment_met_elsewhere_is_still_cut(spark):
+    many = "The inventories reluctantly stayed low and went lower. " * 250
+    marks = ["Read more", "[+66 chars]", "[more]", "</p>", "&am", "https://t.example/abc"]
+    rows = [("documents", 1, many), ("documents", 2, many.replace("inventories", "invent ories", 1)), *[("news_item", 10 + i, PROSE + f" It rose reluctan {m}") for i, m in enumerate(marks)]]
+    rows += [("social_post", 20, "so they stayed reluctan"), ("social_post", 21, "see the invent"), ("social_post", 22, "it went low"), ("social_post", 23, "so they stayed reluctantly")]
+    assert {r.id for r in truncation.truncated(recs(spark, rows)).where("cut and tbl = 'social_post'").collect()} == {20, 21}
+
+
 def test_rates(spark):
     marked = spark.createDataFrame([("d", 1, True), ("d", 2, False), ("d", 2, False), ("d", 3, True)], "tbl string, id bigint, cut boolean")
     src = spark.createDataFrame([("d", 1, "A "), ("d", 2, "a"), ("d", 3, None)], "tbl string, id bigint, source string")
