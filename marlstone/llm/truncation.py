@@ -25,8 +25,13 @@ FLUSH = 400_000
 #: A word counts as none of the vocabulary if it is met at most this share as often as words that go on from it: some of what is
 #: met inside texts are fragments too. On sf0.1 and check_l no last word of three or more texts lies from 0.0041 to 0.0080.
 KNOWN_SHARE = 1 / 200
-#: A length is a field limit if so many texts have it, and so many times as many as the lengths around it.
-LIMIT_LEAST, LIMIT_TIMES = 15, 2.0
+#: A length is a field limit if this share of a table's texts has it, so many times as many as the lengths around it, and so many
+#: standard deviations of a count beyond them.
+LIMIT_SHARE, LIMIT_TIMES, LIMIT_SURE = 0.001, 2.0, 4
+#: Words go on from a last word if they are met so many times as often as it ends texts; else it is a word of its own.
+ONWARD_TIMES = 5
+#: An unknown last word from which no words go on may be cut if at least this share of the texts it ends have the length of a limit.
+AT_LIMIT_SHARE = 0.5
 
 WORD = re.compile(r"\w+")
 # What is put behind a cut.
@@ -161,34 +166,37 @@ def truncated(recs: DataFrame) -> DataFrame:
 
     recs has tbl, id and text. In documents and news_item a text is cut if it breaks off inside a sentence, in
     social_post if inside a word. Marks of a cut, links, tags, bracketed remarks and signatures behind the text are looked
-    through. Null texts are left out; repeated rows come out as often.
+    through. Null texts are left out; repeated rows come out as often. All limits are shares of the table or of the counts around,
+    so that a table's records, given several times over, keep their verdicts; only a heap that chance may have made is none yet.
     """
     seen = settle(_pass(recs))
     ends = seen.where("kind = 'end'").select("tbl", "id", "verdict", "token", "clause", F.col("n").alias("length"))
     words = seen.where("kind = 'word'").groupBy("token").agg(F.sum("n").alias("n"))
-    asked = ends.where("verdict in ('word', 'trail', 'name') and token <> ''").groupBy("token").agg(F.count("*").alias("asked"))
+    by_length = ends.groupBy("tbl", "length").agg(F.count("*").alias("many"))
+    around = by_length.select("tbl", F.explode(F.array(*[F.struct((F.col("length") + d).alias("length"), F.col("many").alias("near")) for d in (-3, -2, -1, 1, 2, 3)])).alias("x")).groupBy("tbl", "x.length").agg((F.sum("x.near") / 6).alias("usual"))
+    totals = by_length.groupBy("tbl").agg(F.sum("many").alias("total"))
+    usual = F.coalesce("usual", F.lit(0.0))
+    limits = by_length.join(around, ["tbl", "length"], "left").join(totals, "tbl").where((F.col("many") >= LIMIT_SHARE * F.col("total")) & (F.col("many") > LIMIT_TIMES * usual) & (F.col("many") - usual >= LIMIT_SURE * F.sqrt(usual + 1))).select("tbl", "length", F.lit(True).alias("at_limit"))
+    ends = ends.join(limits, ["tbl", "length"], "left").withColumn("at_limit", F.coalesce("at_limit", F.lit(False)))
+    asked = ends.where("verdict in ('word', 'trail', 'name') and token <> ''").groupBy("token").agg(F.count("*").alias("asked"), F.count_if("at_limit").alias("limited"))
     nodes = (
-        words.where((F.length("token") <= LONGEST_WORD) & (F.length("token") > 1) & (F.col("n") > 1))
+        words.where((F.length("token") <= LONGEST_WORD) & (F.length("token") > 1))
         .select(F.explode(F.sequence(F.lit(1), F.length("token") - 1)).alias("k"), "token", "n")
         .groupBy(F.expr("substring(token, 1, k)").alias("token")).agg(F.sum("n").alias("onward"))
     )
-    # a word that mostly ends texts is a word, though others go on from it
-    known, rare = F.coalesce("n", F.lit(0)), F.coalesce("n", F.lit(0)) <= KNOWN_SHARE * F.coalesce("onward", F.lit(0))
-    told = asked.join(words, "token", "left").join(nodes, "token", "left").select("token", known.alias("known"), rare.alias("rare"), F.when((F.col("asked") >= 3) & (F.col("asked") > 0.2 * F.col("onward")), 0).otherwise(F.coalesce("onward", F.lit(0))).alias("onward"), "asked")
-    by_length = ends.groupBy("tbl", "length").agg(F.count("*").alias("many"))
-    around = by_length.select("tbl", F.explode(F.array(*[F.struct((F.col("length") + d).alias("length"), F.col("many").alias("near")) for d in (-3, -2, -1, 1, 2, 3)])).alias("x")).groupBy("tbl", "x.length").agg((F.sum("x.near") / 6).alias("usual"))
-    limits = by_length.join(around, ["tbl", "length"], "left").where((F.col("many") >= LIMIT_LEAST) & (F.col("many") > LIMIT_TIMES * F.coalesce("usual", F.lit(0.0)))).select("tbl", "length", F.lit(True).alias("at_limit"))
+    known, onward = F.coalesce("n", F.lit(0)), F.coalesce("onward", F.lit(0))
+    told = asked.join(words, "token", "left").join(nodes, "token", "left").select("token", known.alias("known"), (known <= KNOWN_SHARE * onward).alias("rare"), (onward >= ONWARD_TIMES * F.col("asked")).alias("goes_on"), (F.col("limited") >= AT_LIMIT_SHARE * F.col("asked")).alias("by_limit"))
     trails = ends.where("verdict = 'trail'").groupBy("clause").agg(F.count("*").alias("repeats"))
-    cut_word = F.col("rare") & ((F.col("onward") > 0) | (F.coalesce("at_limit", F.lit(False)) & (F.col("verdict") == "word") & (F.col("asked") < 3)))
+    cut_word = F.col("rare") & (F.col("goes_on") | (F.col("at_limit") & F.col("by_limit") & (F.col("verdict") == "word")))
     whole_trail = ~cut_word & (F.col("known") < 10 * F.coalesce("repeats", F.lit(1)))
-    joined = ends.join(told, "token", "left").join(limits, ["tbl", "length"], "left").join(trails, "clause", "left")
+    joined = ends.join(told, "token", "left").join(trails, "clause", "left")
     verdict = (
         F.when(F.col("verdict") == "cut", True)
         .when(F.col("verdict").isin("word", "name"), F.coalesce(cut_word, F.lit(False)))
         .when(F.col("verdict") == "trail", ~F.coalesce(whole_trail, F.lit(False)))
         .otherwise(False)
     )
-    return joined.select("tbl", "id", verdict.alias("cut"), "length", F.coalesce("at_limit", F.lit(False)).alias("at_limit"))
+    return joined.select("tbl", "id", verdict.alias("cut"), "length", "at_limit")
 
 
 def truncation_rates(marked: DataFrame, sources: DataFrame) -> DataFrame:

@@ -94,6 +94,20 @@ def test_a_fragment_met_elsewhere_is_still_cut(spark):
     assert {r.id for r in truncation.truncated(recs(spark, rows)).where("cut and tbl = 'social_post'").collect()} == {20, 21}
 
 
+def test_verdicts_are_alike_at_every_size(spark):
+    letters = "abcdefghijklmnopqrst"
+    posts = ["the margins widened again " + "x" * n + " ok!" for n in range(60) for _ in range(2)]
+    posts += [("they say " + c * 3 + " " + "y" * 26 + " zq" + c * 5)[:45] for c in letters]  # fragments at a limit of 45
+    posts += ["they were " + "u" * n + " hmm" for n in range(70, 90)]  # a word that only ends posts, at no limit
+    posts += ["a solitary word", "such wizar", *["the wizards came!"] * 5]
+    one = [("social_post", i, t) for i, t in enumerate(posts)]
+    several = [("social_post", i + k * 1000, t) for k in range(6) for i, t in enumerate(posts)]
+    at = lambda rows: {r.id for r in truncation.truncated(recs(spark, rows)).where("cut").collect()}
+    few = at(one)
+    assert few >= set(range(120, 140)) and posts.index("such wizar") in few and posts.index("a solitary word") not in few and not few & set(range(140, 160))
+    assert at(several) == {i + k * 1000 for k in range(6) for i in few}
+
+
 def test_rates(spark):
     marked = spark.createDataFrame([("d", 1, True), ("d", 2, False), ("d", 2, False), ("d", 3, True)], "tbl string, id bigint, cut boolean")
     src = spark.createDataFrame([("d", 1, "A "), ("d", 2, "a"), ("d", 3, None)], "tbl string, id bigint, source string")
