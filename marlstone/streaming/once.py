@@ -20,6 +20,8 @@ from marlstone.functions import web
 from marlstone.session import shared_path
 
 LEDGER = "message string, moment timestamp, delivery_id bigint, received_at timestamp, status string"
+#: Moments leave the state function as microseconds: pandas' nanoseconds end in 2262.
+SETTLED = "message string, moment bigint, delivery_id bigint, received_at bigint, status string"
 STATE = "messages array<string>, moments array<bigint>, deliveries array<bigint>, receipts array<bigint>"
 #: Identifiers are held in so many state entries, so that one call settles many of them; raise it with the number of
 #: identifiers within the watermark's delay.
@@ -71,14 +73,14 @@ def settle_arrivals(key: tuple, arrivals: Iterator[pd.DataFrame], state: GroupSt
         state.remove()
     if out:
         columns = list(zip(*out))
-        yield pd.DataFrame({"message": columns[0], "moment": pd.to_datetime(columns[1], unit="us"), "delivery_id": columns[2], "received_at": pd.to_datetime(columns[3], unit="us"), "status": columns[4]})
+        yield pd.DataFrame({"message": columns[0], "moment": columns[1], "delivery_id": columns[2], "received_at": columns[3], "status": columns[4]})
 
 
 def ledger(arriving: DataFrame, path: str, delay: str = "14 days", shares: int = SHARES) -> DataFrame:
     """Runs the stream of keyed deliveries to its present end; (message, moment, delivery_id, received_at, status) as settled."""
     spark = arriving.sparkSession
     marked = arriving.withWatermark("moment", delay).select("message", "moment", "delivery_id", F.unix_micros("received_at").alias("received"), F.unix_micros("moment").alias("event"), F.pmod(F.xxhash64("message"), F.lit(shares)).alias("share"))
-    settled = marked.groupBy("share").applyInPandasWithState(settle_arrivals, LEDGER, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    settled = marked.groupBy("share").applyInPandasWithState(settle_arrivals, SETTLED, STATE, "append", GroupStateTimeout.EventTimeTimeout).withColumns({c: F.timestamp_micros(c) for c in ("moment", "received_at")})
     query = settled.writeStream.format("parquet").outputMode("append").option("path", f"{path}/ledger").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
     if (e := query.exception()) is not None:

@@ -77,6 +77,11 @@ def test_ties_take_the_smallest_id_and_an_empty_table_gives_nothing(spark, tmp_p
     assert found(spark, tmp_path / "b", []) == set()
 
 
+def test_a_delivery_without_receipt_is_the_last(spark, tmp_path):
+    rows = [item(1, None, "https://x.example/a"), item(2, at(2), "https://x.example/a"), item(3, None, "https://x.example/b"), item(4, None, "https://x.example/b"), item(5, at(1), "https://x.example/c")]
+    assert found(spark, tmp_path, rows) == {1, 4}
+
+
 def test_hot_message(spark, tmp_path):
     rows = [item(i, at(1), "https://x.example/a") for i in range(500)] + [item(1000 + i, at(1), f"https://x.example/{i}") for i in range(500)]
     assert found(spark, tmp_path, rows) == set(range(1, 500))
