@@ -314,7 +314,7 @@ def default_strings(s: SparkSession, d: str) -> DataFrame:
 def main_text(s: SparkSession, d: str) -> DataFrame:
     from marlstone.functions.html import main_text as extract
 
-    return docs(s, d).where(F.contains("t", F.lit("</"))).select("doc_id", extract("t").alias("value"))
+    return docs(s, d).select("doc_id", extract("t").alias("value"))
 
 
 @BOOK.add("cleaned_articles", None)

@@ -67,3 +67,12 @@ def test_clean_posts_keeps_the_first_of_equal_texts(spark):
     got = corpus.clean_posts(df)
     assert {(r.id, r.text) for r in got.collect()} == {(1, "[STOCKTWITS] the market will rise again soon"), (3, "[STOCKTWITS] the market will rise again soon")}
     assert corpus.clean_posts(df.limit(0)).count() == 0
+
+
+def test_main_text_sees_every_document(spark, tmp_path):
+    from marlstone.plans import corpus_queries
+
+    texts = ["<p>One</p><p>two", "<p>cut pa", "plain  text", "a<br>b", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").selectExpr("*", "'s' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    got = dict(map(tuple, corpus_queries.main_text(spark, str(tmp_path)).collect()))
+    assert got == {0: "One\ntwo", 1: "cut pa", 2: "plain text", 3: "a\nb", 4: "", 5: ""}
