@@ -1,9 +1,9 @@
-"""Long exact spans that stand in more than one text, by relative Lempel-Ziv factors.
+"""Long exact spans that stand in more than one text, by winnowed seeds and their extension.
 
-Every text is both parsed and reference. A text's q-grams of smallest hash in each window are its anchors; a span of LEAST
+This stands in for relative Lempel-Ziv parsing: no text is parsed greedily. A text's q-grams of smallest hash in each window are its anchors; a span of LEAST
 characters holds a whole window, so that two texts that share one have an anchor in common there. The block around an anchor
-is a reference block. Texts are factored greedily, from anchor to anchor, against all reference blocks of the same anchor: a
-factor is extended over the block to both sides, and is a duplicate span if it has LEAST characters between its boundaries.
+reaches MARGIN characters to either side. Blocks of the same anchor are compared with each other: what they share is extended
+over the block to both sides, and is a duplicate span if it has LEAST characters between its boundaries.
 """
 
 from __future__ import annotations
