@@ -1,14 +1,16 @@
-"""Long exact spans that stand in more than one text, by winnowed seeds and their extension.
-
-This stands in for relative Lempel-Ziv parsing: no text is parsed greedily. A text's q-grams of smallest hash in each window are its anchors; a span of LEAST
-characters holds a whole window, so that two texts that share one have an anchor in common there. The block around an anchor
-reaches MARGIN characters to either side. Blocks of the same anchor are compared with each other: what they share is extended
-over the block to both sides, and is a duplicate span if it has LEAST characters between its boundaries.
+"""Long exact spans that stand in more than one text, by relative Lempel-Ziv parsing over distributed reference blocks.
+
+A text's q-grams of smallest hash in each window are its anchors; a span of LEAST characters holds a whole window, so that two
+texts that share one have an anchor in common there. The reference of an anchor are the blocks around it, MARGIN characters to
+either side, of all texts that have it. They are indexed by their runs of LEAST characters, and each block is parsed against
+them greedily, from position to position: what is known there is extended to the longest match with each reference block, a
+factor. The parse against that block goes on where a run of LEAST characters reaches beyond the factor, so that a span across
+its boundary is seen too. Factors that touch or overlap at the boundaries of blocks are one span of their text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -18,14 +20,13 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.arrowkit import code_points, flat_bytes, slices
 from marlstone.llm.bloom import one_of
-from marlstone.session import release, settle
+from marlstone.llm.pairing import pairs_within
+from marlstone.session import settle
 
 LEAST = 200
 Q, W = 100, 101  # q-gram and window; Q + W - 1 may be LEAST at most
 MARGIN = LEAST - Q  # characters to either side of the q-gram that decide
 BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Distinct blocks of an anchor are compared pair by pair up to this number, beyond it by their windows.
-PAIRWISE = 16
 #: Anchors in more texts are spread over tasks by their windows instead of gathered.
 HOT = 5000
 
@@ -123,53 +124,76 @@ def _common(a: str, b: str) -> int:
     return lo
 
 
-class Bucket:
-    """All texts of one anchor: its distinct blocks, and who holds each at which place."""
+#: A run of characters that several texts have.
+SEVERAL = object()
+
+
+class Reference:
+    """The distinct reference blocks of one anchor, and which text holds each from which place on."""
 
     def __init__(self) -> None:
-        self.blocks: dict[tuple[str, str, str], list[tuple[int, int]]] = {}
-
-    def add(self, gram: str, left: str, right: str, tid: int, pos: int) -> None:
-        self.blocks.setdefault((gram, left, right), []).append((tid, pos))
-
-    def factors(self) -> Iterator[tuple[int, int, int, int, int]]:
-        """(tid, other, begin, end, other's begin) of the duplicate spans between different texts, each pair once; tid < other."""
-        keys = list(self.blocks)
-        for i, k in enumerate(keys):
-            yield from self._of(k, k, len(k[1]), len(k[2]))
-        for i, j, back, ahead in self._alike(keys):
-            yield from self._of(keys[i], keys[j], back, ahead)
-
-    def _alike(self, keys: list) -> Iterator[tuple[int, int, int, int]]:
-        if len(keys) <= PAIRWISE:
-            pairs = ((i, j) for i in range(len(keys)) for j in range(i))
-        else:
-            holders: dict[tuple[int, str], list[int]] = {}
-            for i, (g, left, right) in enumerate(keys):
-                whole = left[::-1] + g + right
-                for s in range(len(whole) - LEAST + 1):
-                    holders.setdefault((len(left) - s, whole[s : s + LEAST]), []).append(i)
-            pairs = {(i, j) for x in holders.values() if len(x) > 1 for n, i in enumerate(x) for j in x[:n]}
-        for i, j in pairs:
-            a, b = keys[i], keys[j]
-            if a[0] == b[0]:
-                back, ahead = _common(a[1], b[1]), _common(a[2], b[2])
-                if back + ahead + Q >= LEAST:
-                    yield i, j, back, ahead
-
-    def _of(self, a: tuple, b: tuple, back: int, ahead: int) -> Iterator[tuple[int, int, int, int, int]]:
-        if back + ahead + Q < LEAST:
-            return
-        xs, ys = self.blocks[a], self.blocks[b]
-        for n, (t, p) in enumerate(xs):
-            for u, r in xs[:n] if a == b else ys:
-                if t != u:
-                    (t1, p1), (t2, p2) = sorted(((t, p), (u, r)))
-                    yield t1, t2, p1 - back, p1 + Q + ahead, p2 - back
+        self.holders: dict[str, list[tuple[int, int]]] = {}
+
+    def add(self, block: str, tid: int, begin: int) -> None:
+        if len(block) >= LEAST:
+            self.holders.setdefault(block, []).append((tid, begin))
+
+    def factors(self) -> Iterator[tuple[str, str, int, int, int]]:
+        """(block, reference block, place, its place in the reference, length) of all factors, each two blocks parsed once."""
+        index: dict[str, list[tuple[str, int]]] = {}
+        alone = len(self.holders) == 1
+        for block in self.holders:
+            yield block, block, 0, 0, len(block)
+            if alone:
+                return
+            behind: dict[tuple[str, int], int] = {}  # where the factor of a reference block and shift ends
+            for p in range(len(block) - LEAST + 1):
+                for other, q in index.get(block[p : p + LEAST], ()):
+                    if p + LEAST > behind.get((other, q - p), 0):
+                        n = LEAST + _common(block[p + LEAST :], other[q + LEAST :])
+                        behind[other, q - p] = p + n
+                        yield block, other, p, q, n
+            for p in range(len(block) - LEAST + 1):
+                index.setdefault(block[p : p + LEAST], []).append((block, p))
+
+    def pairs(self) -> Iterator[tuple[int, int]]:
+        """The texts that share a factor, the smaller one first."""
+        for a, b, *_ in self.factors():
+            xs, ys = self.holders[a], self.holders[b]
+            for n, (t, _) in enumerate(xs):
+                for u, _ in xs[:n] if a == b else ys:
+                    if t != u:
+                        yield (t, u) if t < u else (u, t)
+
+    def covered(self) -> Iterator[tuple[int, int, int]]:
+        """(text, begin, end) of the factors each text has with any other, without naming the other.
+
+        Each block is parsed once against all of the reference: a factor goes on as long as its last LEAST characters stand
+        in another text. The work grows with the blocks, not with the pairs of their holders.
+        """
+        known: dict[str, object] = {}
+        owners = {block: {t for t, _ in held} for block, held in self.holders.items()}
+        for block, tids in owners.items():
+            mine = SEVERAL if len(tids) > 1 else next(iter(tids))
+            if mine is SEVERAL and len(owners) == 1:
+                yield from ((t, b, b + len(block)) for t, b in self.holders[block])
+                return
+            for p in range(len(block) - LEAST + 1):
+                gram = block[p : p + LEAST]
+                if known.setdefault(gram, mine) != mine:
+                    known[gram] = SEVERAL
+        for block, held in self.holders.items():
+            at = None
+            for p in range(len(block) - LEAST + 2):
+                if p <= len(block) - LEAST and known[block[p : p + LEAST]] is SEVERAL:
+                    at = p if at is None else at
+                elif at is not None:
+                    yield from ((t, b + at, b + p - 1 + LEAST) for t, b in held)
+                    at = None
 
 
 def _blocks(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, bool, DataFrame]:
-    """(members: tid, key), whether an anchor is hot, and (blocks: anchor, hot, tid, pos, gram, back, ahead) of the anchors that several texts have."""
+    """(members: tid, key), whether an anchor is hot, and (blocks: anchor, hot, tid, begin, block) of the anchors that several texts have."""
     rows = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull() & (F.length(text) >= LEAST))
     rows = rows.select(F.col(key).alias("doc"), F.col(text).alias("text"), F.xxhash64(text, F.length(text)).alias("tid"))
     members = rows.select("tid", "doc").distinct()
@@ -177,7 +201,6 @@ def _blocks(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, bool, Data
     found = settle(_anchors(rows.select("tid", "text")), "anchors")
     several = found.groupBy("anchor").agg(F.min("tid").alias("a"), F.max("tid").alias("b"), F.count("*").alias("n")).where("a <> b").select("anchor", (F.col("n") > HOT).alias("hot"))
     places = settle(found.join(several, "anchor").select("tid", "anchor", "hot", "pos").distinct().groupBy("tid").agg(F.collect_list(F.struct("anchor", "hot", "pos")).alias("places")), "places")
-    release(docs.sparkSession)
     any_hot = not places.where(F.exists("places", lambda p: p["hot"])).isEmpty()
     # only texts with a shared anchor travel
     rows = rows.where(one_of(places.select("tid"))("tid"))
@@ -186,11 +209,11 @@ def _blocks(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, bool, Data
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for tid, places, text in zip(batch.column("tid").to_pylist(), batch.column("places").to_pylist(), batch.column("text").to_pylist()):
-                pos = [p["pos"] for p in places]
-                n = len(places)
+                pos = [max(p["pos"] - MARGIN, 0) for p in places]
+                blocks = [text[b : p["pos"] + Q + MARGIN] for b, p in zip(pos, places)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([p["anchor"] for p in places]), pa.array([p["hot"] for p in places]), pa.array([tid] * n, pa.int64()), pa.array(pos, pa.int32()), pa.array([text[p : p + Q] for p in pos]), pa.array([text[max(p - MARGIN, 0) : p][::-1] for p in pos]), pa.array([text[p + Q : p + Q + MARGIN] for p in pos])],
-                    names=["anchor", "hot", "tid", "pos", "gram", "back", "ahead"],
+                    [pa.array([p["anchor"] for p in places]), pa.array([p["hot"] for p in places]), pa.array([tid] * len(pos), pa.int64()), pa.array(pos, pa.int32()), pa.array(blocks)],
+                    names=["anchor", "hot", "tid", "begin", "block"],
                 )
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,49 +227,70 @@ def _blocks(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, bool, Data
         if kept:
             yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
 
-    return members, any_hot, read.select("tid", "places", "text").mapInArrow(gathered, "anchor bigint, hot boolean, tid bigint, pos int, gram string, back string, ahead string")
-
+    return members, any_hot, read.select("tid", "places", "text").mapInArrow(gathered, "anchor bigint, hot boolean, tid bigint, begin int, block string")
 
-FACTORS = "tid bigint, other bigint, begins int, ends int, other_begins int"
 
+def _parsed(blocks: DataFrame, parse: Callable[[Reference], Iterator[tuple]], kinds: dict[str, pa.DataType], shape: str) -> DataFrame:
+    """What `parse` gives for the reference of each anchor that isn't hot."""
 
-def factors(blocks: DataFrame, any_hot: bool) -> DataFrame:
-    """(tid, other, begins, ends, other_begins): the duplicate spans found at each anchor, tid < other."""
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        now, bucket = None, Bucket()
+        now, reference = None, Reference()
 
         def flush() -> pa.RecordBatch:
-            columns = list(zip(*out)) if out else [[]] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["tid", "other", "begins", "ends", "other_begins"])
+            columns = list(zip(*out)) if out else [[]] * len(kinds)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values())], names=list(kinds))
 
-        def close(b: Bucket) -> Iterator[pa.RecordBatch]:
-            for f in b.factors():
+        def close(r: Reference) -> Iterator[pa.RecordBatch]:
+            for f in parse(r):
                 out.append(f)
                 if len(out) >= 20_000:
                     yield flush()
-                    out.clear()
 
         for batch in batches:
-            for a, t, p, g, left, right in zip(*(batch.column(c).to_pylist() for c in ("anchor", "tid", "pos", "gram", "back", "ahead"))):
+            for a, t, p, block in zip(*(batch.column(c).to_pylist() for c in ("anchor", "tid", "begin", "block"))):
                 if a != now:
-                    yield from close(bucket)
-                    now, bucket = a, Bucket()
-                bucket.add(g, left, right, t, p)
-        yield from close(bucket)
+                    yield from close(reference)
+                    now, reference = a, Reference()
+                reference.add(block, t, p)
+        yield from close(reference)
         yield flush()
 
-    cold = blocks.where("not hot").repartition("anchor").sortWithinPartitions("anchor").select("anchor", "tid", "pos", "gram", "back", "ahead").mapInArrow(parse, FACTORS)
+    cold = blocks.where("not hot").select("anchor", "tid", "begin", "block")
+    return cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, shape)
+
+
+def _windows(blocks: DataFrame) -> DataFrame:
+    """(tid, begins, x, y, before): all runs of LEAST characters around the hot anchors by two hashes, and the hash of the run one place before."""
+    at = F.explode(F.sequence(F.lit(0), F.length("block") - LEAST)).alias("s")
+    rows = blocks.where(F.col("hot") & (F.length("block") >= LEAST)).select("tid", "begin", "block", at)
+    gram, before = F.expr(f"substring(block, s + 1, {LEAST})"), F.when(F.col("s") > 0, F.xxhash64(F.expr(f"substring(block, s, {LEAST})"), F.lit(7)))
+    return rows.select("tid", (F.col("begin") + F.col("s")).alias("begins"), F.xxhash64(gram, F.lit(7)).alias("x"), F.xxhash64(gram).alias("y"), before.alias("before"))
+
+
+def met(blocks: DataFrame, any_hot: bool) -> DataFrame:
+    """(tid, other), tid < other: the texts that have a factor in common.
+
+    Anchors of very many texts are spread: their runs of LEAST characters meet by equality, where a common stretch begins, in
+    as many tasks as their number asks for.
+    """
+    cold = _parsed(blocks, lambda r: iter(set(r.pairs())), {"tid": pa.int64(), "other": pa.int64()}, "tid bigint, other bigint")
+    if not any_hot:
+        return cold
+    windows = _windows(blocks).drop("begins").distinct()
+    hot = pairs_within(windows, ["x", "y"], "tid", "tid", "other", lambda a, b: a["before"].isNull() | b["before"].isNull() | (a["before"] != b["before"]))
+    return cold.unionByName(hot.select("tid", "other"))
+
+
+def covers(blocks: DataFrame, any_hot: bool) -> DataFrame:
+    """(tid, begins, ends): the stretches of each text that other texts have too; no pair of texts is made."""
+    cold = _parsed(blocks, Reference.covered, {"tid": pa.int64(), "begins": pa.int32(), "ends": pa.int32()}, "tid bigint, begins int, ends int")
     if not any_hot:
         return cold
-    # anchors of very many texts: all windows of LEAST characters around them, met by equality, in as many tasks as needed
-    whole = F.concat(F.reverse("back"), F.col("gram"), F.col("ahead"))
-    n = F.length("back")
-    window = blocks.where("hot").select("tid", "pos", n.alias("n"), whole.alias("w"), F.explode(F.sequence(F.lit(0), F.length(whole) - LEAST)).alias("s")).select("tid", (F.col("pos") - F.col("n") + F.col("s")).alias("begins"), F.xxhash64(F.expr(f"substring(w, s + 1, {LEAST})"), F.lit(7)).alias("x"), F.xxhash64(F.expr(f"substring(w, s + 1, {LEAST})")).alias("y")).distinct()
-    left, right = window.alias("l"), window.alias("r")
-    hot = left.join(right, (F.col("l.x") == F.col("r.x")) & (F.col("l.y") == F.col("r.y")) & (F.col("l.tid") < F.col("r.tid"))).select("l.tid", F.col("r.tid").alias("other"), "l.begins", (F.col("l.begins") + LEAST).alias("ends"), F.col("r.begins").alias("other_begins"))
-    return cold.unionByName(hot)
+    windows = _windows(blocks).select("tid", "begins", "x", "y").distinct()
+    several = windows.groupBy("x", "y").agg(F.min("tid").alias("a"), F.max("tid").alias("b")).where("a <> b").select("x", "y")
+    return cold.unionByName(windows.join(several, ["x", "y"], "left_semi").select("tid", "begins", (F.col("begins") + LEAST).alias("ends")))
 
 
 def shared_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -256,10 +300,10 @@ def shared_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     Equal texts are parsed once and stand for each other at the end.
     """
     members, any_hot, blocks = _blocks(docs, key, text)
-    met = factors(blocks, any_hot).select("tid", "other").distinct()
+    pairs = met(blocks, any_hot).distinct()
     one, two = members.select("tid", F.col("doc").alias("a")), members.select(F.col("tid").alias("other"), F.col("doc").alias("b"))
-    across = met.join(one, "tid").join(two, "other").select("a", "b")
-    copies = one.join(two, (F.col("tid") == F.col("other")) & (F.col("a") < F.col("b"))).select("a", "b")
+    across = pairs.join(one, "tid").join(two, "other").select("a", "b")
+    copies = pairs_within(members, ["tid"], "doc", "a", "b").select("a", "b")
     both = across.unionByName(copies).where("a <> b")
     return both.select(F.least("a", "b").alias(f"{key}_1"), F.greatest("a", "b").alias(f"{key}_2")).distinct()
 
@@ -267,12 +311,11 @@ def shared_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 def shared_part(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_chars, shared_chars, shared_share, spans): how much of each text stands in another one too.
 
-    One row per row with a text; spans are the disjoint stretches (begins, ends) of factors that touch or overlap. A text of
+    One row per row with a text; spans are the disjoint stretches (begins, ends), factors that touch or overlap at their boundaries being one. A text of
     which there are copies is shared from end to end if it has LEAST characters. Null texts are left out; empty texts share nothing.
     """
     _, any_hot, blocks = _blocks(docs, key, text)
-    found = settle(factors(blocks, any_hot), "factors")
-    both = found.select("tid", "begins", "ends").unionByName(found.select(F.col("other").alias("tid"), F.col("other_begins").alias("begins"), (F.col("other_begins") + F.col("ends") - F.col("begins")).alias("ends"))).distinct()
+    both = covers(blocks, any_hot).distinct()
     by = Window.partitionBy("tid").orderBy("begins", "ends")
     far = F.max("ends").over(by.rowsBetween(Window.unboundedPreceding, -1))
     group = F.sum((F.coalesce(far, F.lit(-1)) < F.col("begins")).cast("int")).over(by)
