@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.engine import Engine
+from marlstone.functions import text as T
 from marlstone.operators import asof
+from marlstone.plans.corpus_queries import S500, count_sql
 from marlstone.plans.kit import Book, num, rounded
 from marlstone.session import table
 from marlstone.streaming import incremental
@@ -137,9 +139,9 @@ def stream_unseen(s: SparkSession, d: str) -> DataFrame:
     return incremental.unseen_articles(s, f"{d}/news_item.parquet")
 
 
-@BOOK.add("stream5_monthly_counts", "SELECT strftime(received_at, '%Y-%m') AS month, count(*) AS n FROM social_post GROUP BY 1")
+@BOOK.add("stream5_monthly_sentiment", f"WITH q AS (SELECT strftime(received_at, '%Y-%m') AS month, trim({S500}) = '' AS blank, {count_sql(S500, T.POSITIVE)} AS p, {count_sql(S500, T.NEGATIVE)} AS m FROM social_post WHERE received_at IS NOT NULL) SELECT month, count(*) AS n, round(sum(CASE WHEN blank OR p = m THEN 0.0 ELSE (p - m) / (p + m) END) / nullif(count(*) FILTER (NOT blank AND p <> m), 0), 6) AS average_score FROM q GROUP BY 1")
 def stream_months(s: SparkSession, d: str) -> DataFrame:
-    return incremental.monthly_counts(s, f"{d}/social_post.parquet")
+    return rounded(incremental.monthly_sentiment(s, f"{d}/social_post.parquet"))
 
 
 @BOOK.add("stream2_upsert_series", "SELECT ticker, day, max_by(close, received_at) AS close FROM (SELECT upper(trim(ticker)) || ':' || upper(trim(venue)) AS ticker, CAST(date AS DATE) AS day, max_by(close, (received_at, close)) AS close, max(received_at) AS received_at FROM stock_closing_prices WHERE close > 0 AND isfinite(close) GROUP BY 1, 2) GROUP BY 1, 2")
@@ -149,6 +151,4 @@ def stream_upsert(s: SparkSession, d: str) -> DataFrame:
 
 @BOOK.add("stream4_request_gaps", "SELECT event_id, user_id, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)), -1) AS gap_us FROM events")
 def request_gaps(s: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    return table(s, d, "events").select("event_id", "user_id", F.coalesce(at - F.lag(at).over(w), F.lit(-1)).alias("gap_us"))
+    return incremental.spacing(s, f"{d}/events.parquet")

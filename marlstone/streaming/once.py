@@ -1,31 +1,23 @@
 """Exactly one copy of every message that was delivered at least once.
 
-A stream keeps each identifier's first delivery in the state store, the identifiers shared out over keyed entries. Whatever arrives for a
-known identifier settles one delivery as a repeat: the newcomer, or, if the newcomer is the earlier one, the delivery that
-was held for the first so far. State is given up when the watermark passes the message's own event time, which is part of its
-identifier: whatever is late by that measure may belong to an identifier that was given up, isn't seen by the state store, and
-is looked up in the ledger of first deliveries afterwards. Output and state are committed together by the stream's checkpoint.
+A streaming aggregation keeps one state entry for each identifier: its first delivery so far. The entries are in the session's
+keyed state store (RocksDB), read and written as deliveries arrive for them, and given up when the watermark passes the message's own event
+time, which is part of its identifier. What a batch has settled is written as that batch's part of the ledger, over what an
+interrupted run of the same batch has left, and the stream's checkpoint commits both: a run that starts at the same folder goes
+on where the last one ended. A delivery that is late by the watermark isn't taken into the state, as its identifier may have
+been given up; it is looked up in the ledger.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from marlstone.functions import web
 from marlstone.session import shared_path
+from marlstone.streaming.incremental import drain, source
 
-LEDGER = "message string, moment timestamp, delivery_id bigint, received_at timestamp, status string"
-#: Moments leave the state function as microseconds: pandas' nanoseconds end in 2262.
-SETTLED = "message string, moment bigint, delivery_id bigint, received_at bigint, status string"
-STATE = "messages array<string>, moments array<bigint>, deliveries array<bigint>, receipts array<bigint>"
-#: Identifiers are held in so many state entries, so that one call settles many of them; raise it with the number of
-#: identifiers within the watermark's delay.
-SHARES = 512
+LEDGER = "message string, moment timestamp, received_at timestamp, delivery_id bigint, deliveries bigint, batch bigint"
 
 
 def keyed(news: DataFrame) -> DataFrame:
@@ -44,67 +36,46 @@ def keyed(news: DataFrame) -> DataFrame:
     )
 
 
-def settle_arrivals(key: tuple, arrivals: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State function: the held first deliveries of one share of the identifiers against the arrivals of one batch."""
-    watermark = state.getCurrentWatermarkMs() * 1000
-    held = {}
-    if state.exists:
-        held = {m: (r, d, t) for m, t, d, r in zip(*state.get) if t >= watermark}
-    out = []
-    for part in arrivals:
-        rows = zip(part["received"].tolist(), part["delivery_id"].tolist(), part["message"].tolist(), part["event"].tolist())
-        for r, d, m, t in sorted(rows):
-            if t <= watermark:
-                continue  # its identifier may have been given up just now: left to the look-up
-            first = held.get(m)
-            if first is None:
-                held[m] = (r, d, t)
-                out.append((m, t, d, r, "first"))
-            elif (r, d) < first[:2]:
-                out.append((m, t, first[1], first[0], "repeat"))
-                held[m] = (r, d, t)
-                out.append((m, t, d, r, "first"))
-            elif (r, d) != first[:2]:
-                out.append((m, t, d, r, "repeat"))
-    if held:
-        state.update(([*held], [x[2] for x in held.values()], [x[1] for x in held.values()], [x[0] for x in held.values()]))
-        state.setTimeoutTimestamp(max(max(x[2] for x in held.values()), watermark) // 1000 + 1)
-    elif state.exists:
-        state.remove()
-    if out:
-        columns = list(zip(*out))
-        yield pd.DataFrame({"message": columns[0], "moment": columns[1], "delivery_id": columns[2], "received_at": columns[3], "status": columns[4]})
-
-
-def ledger(arriving: DataFrame, path: str, delay: str = "14 days", shares: int = SHARES) -> DataFrame:
-    """Runs the stream of keyed deliveries to its present end; (message, moment, delivery_id, received_at, status) as settled."""
+def ledger(arriving: DataFrame, path: str, delay: str = "14 days") -> DataFrame:
+    """Runs the stream of keyed deliveries to its present end; the firsts at `path`, as each batch has settled them.
+
+    A message has a row for each batch that brought deliveries of it; the last one holds.
+    """
     spark = arriving.sparkSession
-    marked = arriving.withWatermark("moment", delay).select("message", "moment", "delivery_id", F.unix_micros("received_at").alias("received"), F.unix_micros("moment").alias("event"), F.pmod(F.xxhash64("message"), F.lit(shares)).alias("share"))
-    settled = marked.groupBy("share").applyInPandasWithState(settle_arrivals, SETTLED, STATE, "append", GroupStateTimeout.EventTimeTimeout).withColumns({c: F.timestamp_micros(c) for c in ("moment", "received_at")})
-    query = settled.writeStream.format("parquet").outputMode("append").option("path", f"{path}/ledger").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
-    query.awaitTermination()
-    if (e := query.exception()) is not None:
-        raise e
+    first = F.min(F.struct("received_at", "delivery_id")).alias("first")
+    firsts = arriving.withWatermark("moment", delay).groupBy("message", "moment").agg(first, F.count("*").alias("deliveries")).select("message", "moment", "first.*", "deliveries")
+
+    def settled(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/ledger/batch={number}")
+
+    drain(firsts, settled, f"{path}/progress", "update")
     return spark.read.schema(LEDGER).parquet(f"{path}/ledger")
 
 
-def repeats(spark: SparkSession, place: str, delay: str = "14 days", files_per_batch: int = 8) -> DataFrame:
+def judged(deliveries: DataFrame, book: DataFrame) -> DataFrame:
+    """(message, delivery_id, received_at, repeat) of keyed deliveries by the ledger.
+
+    A delivery behind the first of its message is a repeat. One that the ledger doesn't account for, as its message isn't
+    there or its first is a later delivery, was late for the state; such deliveries are compared with each other.
+    """
+    order = F.struct("received_at", "delivery_id")
+    firsts = book.groupBy("message").agg(F.min(order).alias("first"))
+    both = deliveries.join(firsts, "message", "left")
+    late = F.col("first").isNull() | (order < F.col("first"))
+    earlier = both.where(late).groupBy("message").agg(F.min(order).alias("earlier"))
+    return both.join(earlier, "message", "left").select("message", "delivery_id", "received_at", (order != F.coalesce("earlier", "first")).alias("repeat"))
+
+
+def repeats(spark: SparkSession, place: str, delay: str = "14 days", files_per_batch: int = 8, path: str | None = None) -> DataFrame:
     """(delivery_id): the deliveries of a message other than its first, from the files at `place`.
 
     The first is the earliest received, of equals the one of smallest id; order of arrival in the files doesn't matter. An
-    empty table gives no rows; a delivery without received_at counts as the last.
+    empty table gives no rows; a delivery without received_at counts as the last. `path` is where state and ledger are kept;
+    a later run with the same path reads only files it hasn't seen. Without it they are new.
     """
     stored = spark.read.parquet(place)
-    base = place.rstrip("/")
-    source = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{base[:-1]}[{base[-1]}]")
-    book = ledger(keyed(source), shared_path(spark, "once"), delay)
-    late = keyed(stored).join(book.select("delivery_id").distinct(), "delivery_id", "left_anti").select("message", "delivery_id", "received_at")
-    known = book.where("status = 'first'").select("message", "delivery_id", "received_at").join(late.select("message").distinct(), "message", "left_semi")
-    order = F.struct("received_at", "delivery_id")
-    both = late.unionByName(known)
-    firsts = both.groupBy("message").agg(F.min(order).alias("first"))
-    looked_up = both.join(firsts, "message").where(F.col("delivery_id") != F.col("first.delivery_id")).select("delivery_id")
-    return book.where("status = 'repeat'").select("delivery_id").unionByName(looked_up).distinct()
+    book = ledger(keyed(source(spark, place, files_per_batch)), path or shared_path(spark, "once"), delay)
+    return judged(keyed(stored), book).where("repeat").select("delivery_id").distinct()
 
 
 def once(spark: SparkSession, place: str, **how) -> DataFrame:

@@ -1,7 +1,7 @@
 import datetime as dt
 
 from marlstone.operators import grid
-from marlstone.streaming import once
+from marlstone.streaming import incremental, once
 
 READ = "ticker string, venue string, date timestamp_ntz, close double, received_at timestamp_ntz, day int, value string"
 
@@ -86,3 +86,66 @@ def test_hot_message(spark, tmp_path):
     rows = [item(i, at(1), "https://x.example/a") for i in range(500)] + [item(1000 + i, at(1), f"https://x.example/{i}") for i in range(500)]
     assert found(spark, tmp_path, rows) == set(range(1, 500))
     assert once.once(spark, f"{tmp_path}/t.parquet").count() == 501
+
+
+def test_a_stopped_run_goes_on_and_expired_messages_leave_the_state(spark, tmp_path):
+    place, path = f"{tmp_path}/t.parquet", f"{tmp_path}/kept"
+    add = lambda *rows: spark.createDataFrame([*rows], NEWS).coalesce(1).write.mode("append").parquet(place)
+    run = lambda: {r.delivery_id for r in once.repeats(spark, place, files_per_batch=1, path=path).collect()}
+    batches = lambda: {r.batch: r.n for r in spark.read.parquet(f"{path}/ledger").groupBy("batch").count().withColumnRenamed("count", "n").collect()}
+    old, new = "2024-01-01 10:00:00", "2024-06-01 10:00:00"
+    add(item(10, at(5), "https://x.example/a", old), item(11, at(6), "https://x.example/a", old))
+    assert run() == {11}
+    before = batches()
+    add(item(9, at(4), "https://x.example/a", old))
+    assert run() == {10, 11}
+    assert {k: n for k, n in batches().items() if k in before} == before  # what was settled isn't read again
+    add(item(20, at(20), "https://x.example/b", new))
+    run()
+    add(item(21, at(21), "https://x.example/b", new))
+    arriving = once.keyed(once.source(spark, place, 1))
+    progress = []
+    drain = once.drain
+    once.drain = lambda *a: progress.extend(p for p in drain(*a).recentProgress)
+    try:
+        once.ledger(arriving, path)
+    finally:
+        once.drain = drain
+    removed = sum(o["numRowsRemoved"] for p in progress for o in p["stateOperators"])
+    assert removed == 0 and progress[-1]["stateOperators"][0]["numRowsTotal"] == 1  # only the message within the watermark is held
+    add(item(30, at(25), "https://x.example/a", old), item(8, at(1), "https://x.example/a", old))
+    assert run() == {9, 10, 11, 30, 21}
+
+
+def test_streams_go_on_where_they_ended(spark, tmp_path):
+    place = f"{tmp_path}/n.parquet"
+    news = lambda *rows: spark.createDataFrame([*rows], NEWS).coalesce(1).write.mode("append").parquet(place)
+    unseen = lambda: {r.delivery_id for r in incremental.unseen_articles(spark, place, f"{tmp_path}/u", 1).collect()}
+    news(item(5, at(1), "u", title="a"), item(6, at(1), "u", title="a"), item(7, at(1), "u", title=None))
+    assert unseen() == {5, 7}
+    news(item(1, at(2), "u", title="a"), item(2, at(2), "u", title="b"))
+    assert unseen() == {2, 5, 7} and unseen() == {2, 5, 7}
+
+    prices = f"{tmp_path}/p.parquet"
+    rows = lambda *r: readings(spark, [*r]).coalesce(1).write.mode("append").parquet(prices)
+    series = lambda: {(r.ticker, r.day.day): r.close for r in incremental.upsert_series(spark, prices, f"{tmp_path}/s", 1).collect()}
+    rows(("A", "V", at(1), 1.0, at(1)), ("A", "V", at(2), 2.0, at(9)), ("A", "V", at(3), None, at(3)))
+    assert series() == {("A:V", 1): 1.0, ("A:V", 2): 2.0}
+    rows((" a", "v", at(1), 5.0, at(4)), ("A", "V", at(2), 7.0, at(3)), ("B", "V", at(4), 4.0, at(4)))
+    assert series() == {("A:V", 1): 5.0, ("A:V", 2): 2.0, ("B:V", 4): 4.0}
+
+    events = f"{tmp_path}/e.parquet"
+    more = lambda *r: spark.createDataFrame([*r], "event_id bigint, user_id bigint, ts timestamp_ntz").coalesce(1).write.mode("append").parquet(events)
+    gaps = lambda: {r.event_id: r.gap_us // 3_600_000_000 for r in incremental.spacing(spark, events, f"{tmp_path}/g", 1).collect()}
+    more((1, 1, at(1, 1)), (2, 1, at(1, 4)), (3, 2, at(1, 2)), (4, None, at(1)), (5, 2, None))
+    assert gaps() == {1: -1, 2: 3, 3: -1}
+    more((6, 1, at(1, 9)), (7, 3, at(1, 9)))
+    assert gaps() == {1: -1, 2: 3, 3: -1, 6: 5, 7: -1}
+
+    posts = f"{tmp_path}/m.parquet"
+    post = lambda *r: spark.createDataFrame([*r], "id bigint, text string, received_at timestamp_ntz").coalesce(1).write.mode("append").parquet(posts)
+    months = lambda: {r.month: (r.n, r.average_score) for r in incremental.monthly_sentiment(spark, posts, f"{tmp_path}/n", 1).collect()}
+    post((1, "prices rise", at(1)), (2, "prices fall", at(2)), (3, None, at(3)), (4, "rise", None))
+    assert months() == {"2024-01": (3, 0.0)}
+    post((5, "gain", at(2)), (6, "flat", dt.datetime(2024, 2, 1)))
+    assert months() == {"2024-01": (4, 1 / 3), "2024-02": (1, None)}
