@@ -42,16 +42,22 @@ def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
     return np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32), np.flatnonzero((data & 0xC0) != 0x80)
 
 
+def unmet(points: np.ndarray, met: np.ndarray) -> list[int]:
+    """The code points that aren't marked in `met`."""
+    return np.unique(points[~met[points]]).tolist()
+
+
 @cache
-def char_classes() -> np.ndarray:
-    """Class of every code point: 0 other, 1 letter, 2 number, 3 white space."""
+def _classes() -> tuple[np.ndarray, np.ndarray]:
     kinds = np.zeros(0x110000, np.uint8)
-    for c in range(0x110000):
-        k = unicodedata.category(chr(c))[0]
-        if k == "L":
-            kinds[c] = 1
-        elif k == "N":
-            kinds[c] = 2
     for a, b in ((9, 13), (32, 32), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)):
         kinds[a : b + 1] = 3
-    return kinds
+    return kinds, kinds == 3
+
+
+def char_classes(points: np.ndarray) -> np.ndarray:
+    """Class of each code point: 0 other, 1 letter, 2 number, 3 white space; worked out where one is first met."""
+    kinds, met = _classes()
+    for i in unmet(points, met):
+        kinds[i], met[i] = {"L": 1, "N": 2}.get(unicodedata.category(chr(i))[0], 0), True
+    return kinds[points]

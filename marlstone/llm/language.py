@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.arrowkit import slices
 from marlstone.llm.canonical import canonical_array
-from marlstone.llm.quality import END, PROSE_SHARE, judge
+from marlstone.llm.quality import END, PROSE_SHARE, common_words, judge
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "zh")
 # Other spellings of a language's name (before any - or _).
@@ -68,10 +68,11 @@ def grams(text: str) -> np.ndarray:
 
 @dataclass
 class Filters:
-    """The bit-sliced filters, and the share of false positives of each language."""
+    """The bit-sliced filters, the share of false positives of each language, and the common words that tell sentences."""
 
     cells: np.ndarray
     false: np.ndarray
+    common: frozenset[str] = frozenset()
 
     @staticmethod
     def places(codes: np.ndarray) -> list[np.ndarray]:
@@ -79,7 +80,7 @@ class Filters:
         return [(mixed * m) >> np.uint64(64 - CELLS_LOG2) for m in MULTIPLIERS]
 
     @classmethod
-    def fit(cls, samples: list[tuple[str, str]]) -> Filters:
+    def fit(cls, samples: list[tuple[str, str]], common: frozenset[str] = frozenset()) -> Filters:
         cells = np.zeros(1 << CELLS_LOG2, np.uint8)
         for bit, lang in enumerate(LANGUAGES):
             texts = [t for known, t in samples if known == lang]
@@ -90,7 +91,7 @@ class Filters:
             for p in cls.places(codes[codes > 0]):
                 cells[p] |= np.uint8(1 << bit)
         fill = np.array([np.mean(cells >> b & 1) for b in range(len(LANGUAGES))])
-        return cls(cells, fill ** len(MULTIPLIERS))
+        return cls(cells, fill ** len(MULTIPLIERS), common)
 
     def masks(self, codes: np.ndarray) -> np.ndarray:
         """All languages that have each n-gram."""
@@ -161,7 +162,7 @@ def fit_filters(samples: DataFrame, words: DataFrame | None = None) -> Filters:
     rows = [(r.lang, r.text) for r in samples.where("lang is not null and text is not null").select("lang", "text").limit(SAMPLE_ROWS).collect()]
     if words is not None:
         rows += [(r.lang, r.word) for r in words.where("lang is not null and word is not null").select("lang", "word").limit(SAMPLE_ROWS).collect()]
-    return Filters.fit(rows)
+    return Filters.fit(rows, frozenset() if words is None else common_words(words))
 
 
 def label_language(label: Column) -> Column:
@@ -229,7 +230,7 @@ def document_languages(docs: DataFrame, filters: Filters, key: str = "doc_id", t
                     best, prose, langs = int(sums[d].argmax()), True, spoken.get(d, set())
                     if len(langs) > 1 or labels[d] != LANGUAGES[best]:
                         a, b = int(first_of[d]), int(last_of[d])
-                        judged = [judge(s.text[s.bounds[k] : s.bounds[k + 1]]) for k in range(a, b)]
+                        judged = [judge(s.text[s.bounds[k] : s.bounds[k + 1]], filters.common) for k in range(a, b)]
                         prose = sum(j[3] for j in judged) >= PROSE_SHARE * max(len(texts[d]), 1)
                         real = np.array([j[2] for j in judged]) > 0
                         if real.any():

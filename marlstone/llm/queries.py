@@ -23,8 +23,12 @@ def all_records(spark: SparkSession, d: str, *names: str) -> DataFrame:
     return canonical.records(*[(n, table(spark, d, n), *what[n]) for n in names])
 
 
+def common(spark: SparkSession, d: str) -> frozenset[str]:
+    return quality.common_words(table(spark, d, "common_word"))
+
+
 def p1_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return quality.text_statistics(all_records(spark, d, "documents", "social_post"), ["tbl", "id"])
+    return quality.text_statistics(all_records(spark, d, "documents", "social_post"), ["tbl", "id"], common(spark, d))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -41,14 +45,18 @@ def p2_canonical(spark: SparkSession, d: str) -> DataFrame:
     return canonical.spelling_groups(all_records(spark, d, "documents", "social_post", "news_item"))
 
 
+def p3_marked(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(all_records(spark, d, "documents", "social_post", "news_item"), common(spark, d), frozenset({"social_post"}))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return truncation.truncated(all_records(spark, d, "documents", "social_post", "news_item")).where("cut").select("tbl", F.col("id").alias("rec_id")).distinct()
+    return p3_marked(spark, d).where("cut").select("tbl", F.col("id").alias("rec_id")).distinct()
 
 
 def p3_rates(spark: SparkSession, d: str) -> DataFrame:
     of = lambda n, k, s: table(spark, d, n).select(F.lit(n).alias("tbl"), F.col(k).alias("id"), F.col(s).alias("source"))
     sources = of("documents", "doc_id", "source").unionAll(of("social_post", "id", "file_name")).unionAll(of("news_item", "delivery_id", "site"))
-    return truncation.truncation_rates(truncation.truncated(all_records(spark, d, "documents", "social_post", "news_item")), sources)
+    return truncation.truncation_rates(p3_marked(spark, d), sources)
 
 
 def _filters(spark: SparkSession, d: str) -> language.Filters:

@@ -130,7 +130,7 @@ def pre_tokens(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(points)
     if not n:
         return np.zeros(0, np.int64)
-    kind = char_classes()[points]
+    kind = char_classes(points)
     edge = np.zeros(n + 1, bool)  # first code point of a text
     firsts = offsets[:-1][np.diff(offsets) > 0]
     edge[firsts if begins is None else np.searchsorted(begins, firsts)] = True

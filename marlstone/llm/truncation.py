@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.canonical import canonical_array
-from marlstone.llm.quality import PROSE_SHARE, function_words, judge, units
+from marlstone.llm.quality import PROSE_SHARE, judge, units
 from marlstone.session import settle
 
 #: Words of more letters aren't entered into the trie; a last word of more is no prefix of one.
@@ -67,13 +67,13 @@ def last_fragment(text: str) -> tuple[str, str]:
     return line, units(line)[-1].strip()
 
 
-def ending(tbl: str, text: str) -> tuple[str, str, str, int]:
+def ending(text: str, in_word: bool, known: frozenset[str]) -> tuple[str, str, str, int]:
     """(verdict, last word in lower case, clause, characters before what was put behind it) of one text; verdict: whole, cut, or what has to be asked of the trie.
 
     word: cut if the last word is cut; trail: cut unless the sentence trails off on purpose; name: a short line of
     names, cut if its last word is.
     """
-    if tbl == "social_post":
+    if in_word:
         if text.rstrip().endswith("�"):
             return "cut", "", "", len(text.rstrip())
         body = text.rstrip()
@@ -89,23 +89,23 @@ def ending(tbl: str, text: str) -> tuple[str, str, str, int]:
         return "word", last.group(2).lower(), "", len(body)
     body, marked, close = strip_end(text)
     size = len(body)
-    if body.endswith("�") and _prose(text):
+    if body.endswith("�") and _prose(text, known):
         return "cut", "", "", size
     if not body or ENDED.search(body):
         return "whole", "", "", size
     line, fragment = last_fragment(body)
-    if not fragment or not _prose(text):
+    if not fragment or not _prose(text, known):
         return "whole", "", "", size
     token = (WORD.findall(fragment.lower()) or [""])[-1]
     words = fragment.split()
     if marked:
-        short = close and len(words) <= 5 and token not in function_words()
+        short = close and len(words) <= 5 and token not in known
         return ("trail" if short else "cut"), token, fragment.lower(), size
     if len(fragment) < len(line.strip()):
         return "cut", token, "", size  # it follows a sentence in its line
-    if BULLET.match(line) and not judge(line)[2]:
+    if BULLET.match(line) and not judge(line, known)[2]:
         return "whole", "", "", size
-    if judge(fragment)[2] or any(0x3400 <= ord(c) <= 0x9FFF for c in fragment):
+    if judge(fragment, known)[2] or any(0x3400 <= ord(c) <= 0x9FFF for c in fragment):
         return "cut", token, "", size
     if re.search(r"[|\t;:=<>/\\▲▼%]|  |,\S", line):
         return "whole", "", "", size  # a row of a table
@@ -113,22 +113,22 @@ def ending(tbl: str, text: str) -> tuple[str, str, str, int]:
     if len(words) <= 3 and not small:
         return "name", token, "", size
     commas = sum(w.endswith(",") for w in words)
-    return ("cut" if small and commas * 2 < len(words) and len(words) > 1 and (token in function_words() or any(w.lower() in function_words() for w in words)) else "name"), token, "", size
+    return ("cut" if small and commas * 2 < len(words) and len(words) > 1 and any(w.lower() in known for w in (token, *words)) else "name"), token, "", size
 
 
-def _prose(text: str) -> bool:
+def _prose(text: str, known: frozenset[str]) -> bool:
     """Whether running sentences make up a third of the text, the unfinished one included."""
     need = PROSE_SHARE * len(text)
     got = 0
     for u in units(text):
-        got += judge(u)[3]
+        got += judge(u, known)[3]
         if got >= need:
             return True
     # a single sentence that broke off early has few words to be judged by
     return len(text) < 60 and sum(w.isalpha() for w in text.split()) >= 2
 
 
-def _pass(recs: DataFrame) -> DataFrame:
+def _pass(recs: DataFrame, known: frozenset[str], in_words: frozenset[str]) -> DataFrame:
     """kind 'end': one row a record; kind 'word': counts of the words that aren't their text's last, nor the last before what was put behind it."""
     names = ["kind", "tbl", "id", "verdict", "token", "clause", "n", "m"]
     kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
@@ -143,7 +143,7 @@ def _pass(recs: DataFrame) -> DataFrame:
         for batch in batches:
             tbls, ids, out = batch.column("tbl").to_pylist(), batch.column("id").to_pylist(), []
             for tbl, i, text in zip(tbls, ids, canonical_array(batch.column("text")).to_pylist()):
-                verdict, token, clause, size = ending(tbl, text)
+                verdict, token, clause, size = ending(text, tbl in in_words, known)
                 # the text and what was put behind it each have a last word
                 for piece in (text[:size], text[size:]):
                     found = WORD.findall(piece.lower())
@@ -161,15 +161,15 @@ def _pass(recs: DataFrame) -> DataFrame:
     return recs.where("text is not null and id is not null").mapInArrow(run, "kind string, tbl string, id bigint, verdict string, token string, clause string, n bigint, m bigint")
 
 
-def truncated(recs: DataFrame) -> DataFrame:
+def truncated(recs: DataFrame, known: frozenset[str], in_words: frozenset[str] = frozenset()) -> DataFrame:
     """(tbl, id, cut, length, at_limit): every record and whether its text was cut.
 
-    recs has tbl, id and text. In documents and news_item a text is cut if it breaks off inside a sentence, in
-    social_post if inside a word. Marks of a cut, links, tags, bracketed remarks and signatures behind the text are looked
+    recs has tbl, id and text; `known` are the common words. A text is cut if it breaks off inside a sentence, in the tables
+    `in_words` if inside a word. Marks of a cut, links, tags, bracketed remarks and signatures behind the text are looked
     through. Null texts are left out; repeated rows come out as often. All limits are shares of the table or of the counts around,
     so that a table's records, given several times over, keep their verdicts; only a heap that chance may have made is none yet.
     """
-    seen = settle(_pass(recs))
+    seen = settle(_pass(recs, known, in_words))
     ends = seen.where("kind = 'end'").select("tbl", "id", "verdict", "token", "clause", F.col("n").alias("length"))
     words = seen.where("kind = 'word'").groupBy("token").agg(F.sum("n").alias("n"))
     by_length = ends.groupBy("tbl", "length").agg(F.count("*").alias("many"))

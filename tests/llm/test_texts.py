@@ -8,6 +8,11 @@ from marlstone.session import table
 PROSE = "The board of Acme met on Monday, and it raised the dividend by 3.5 percent. Shares of the firm rose after the news! Did they hold? They did."
 
 
+KNOWN = frozenset("the of and to in a is that for it as was with be by on not at are this but from or have an they which its were their has after while since near over about within during late worth below past because despite before through".split())
+
+POSTS = frozenset({"social_post"})
+
+
 def recs(spark, rows):
     return spark.createDataFrame([(*r, 1) for r in rows], "tbl string, id bigint, text string, look int")
 
@@ -42,33 +47,55 @@ def test_p2_equals_its_sql(spark, data):
     assert {tuple(r) for r in queries.p2_found(spark, data).collect()} == want
 
 
+ODD = [
+    PROSE, "a" * 9000, "\n\n", "x. \n y.\n", "word " * 2000, "。" * 5, "Wait... what?\" he said.) No", "$ABC +1.5% http://x.y/" + "z" * 3000 + " 🙂 #tag", "wwww.a.b Www.c.d 3.5bn İstanbul ǅ ⅣX ½ '’' -- (a) #", "中文句子没有空格" * 700,
+    "and the prices, rose with no end to be seen " * 200, "x.  ", "a\x1cb\x85c\u2028d", "周五，董事会上涨。」 尽管预期不及预期！x。. y", " . , \n;", "HTTPS://A.b/c?d=1#e $1.5 +3 -2,4k 5th_ @me,you",
+]
+
+
 def test_partials_join_in_any_order(spark, data):
     rng = random.Random(1)
-    texts = [r.text for r in table(spark, data, "documents").where("length(trim(text)) > 0").limit(40).collect()]
-    texts += [PROSE, "a" * 9000, "\n\n", "x. \n y.\n", "word " * 2000, "。" * 5, "Wait... what?\" he said.) No"]
-    for t in texts:
-        whole = quality.whole_text(t)
-        for n in (5, 64, 1000):
-            parts = [quality.partial(t[i : i + n]) for i in range(0, len(t), n)]
+    texts = [r.text for r in table(spark, data, "documents").where("length(trim(text)) > 0").limit(12).collect()]
+    for t in texts + ODD:
+        whole = quality.whole_text(t, KNOWN)
+        for n in (1, 64, 1000) if len(t) < 200 else (7, 64, 1000):
+            parts = [quality.partial(t[i : i + n], KNOWN) for i in range(0, len(t), n)]
             while len(parts) > 1:
                 i = rng.randrange(len(parts) - 1)
-                parts[i : i + 2] = [quality.join(parts[i], parts[i + 1])]
-            got = quality.close(parts[0])
-            assert {k: v for k, v in got.items() if k != "bare_letters"} == {k: v for k, v in whole.items() if k != "bare_letters"}, (t[:80], n)
+                parts[i : i + 2] = [quality.join(parts[i], parts[i + 1], KNOWN)]
+            assert quality.close(parts[0], KNOWN) == whole, (t[:80], n)
+
+
+def test_counts_on_code_points_are_those_of_single_units(spark, data):
+    texts = [r.text for n in ("documents", "social_post") for r in table(spark, data, n).where("text is not null").collect()] + ODD
+    counts = quality.Pieces(texts, KNOWN).finished()
+    for i, t in enumerate(texts):
+        got = {k: int(v[i]) for k, v in counts.items()}
+        c = quality.Counts(KNOWN)
+        for u in quality.units(t):
+            c.add(u)
+        want = c.n | {"n_words": len(t.split()), "bare_letters": len(quality.LETTER.findall(quality.BARE.sub(" ", t)))}
+        lines = {k: got[k] for k in want if k not in ("n_lines", "n_closed_lines")}
+        assert lines == {k: want[k] for k in lines}, t[:80]
 
 
 def test_statistics_don_t_depend_on_chunks(spark):
-    rows = [("d", 1, PROSE * 30), ("d", 2, "a;b;1\n" * 400), ("d", 3, None), ("d", 4, " "), ("d", 5, "$ABC +1.5% http://x.y 🙂"), ("d", 5, "$ABC +1.5% http://x.y 🙂"), ("d", 6, "y" * 20_000)]
+    rows = [("d", 1, PROSE * 30), ("d", 2, "a;b;1\n" * 400), ("d", 3, None), ("d", 4, " "), ("d", 5, "$ABC +1.5% http://x.y 🙂"), ("d", 5, "$ABC +1.5% http://x.y 🙂"), ("d", 6, "y" * 20_000), ("d", 7, "#tag http://x.y/z 3.5% " * 400), ("d", 8, "cafe\u0301 " * 90), ("d", 9, "")]
     r = recs(spark, rows)
-    one, many = (sorted(map(tuple, quality.text_statistics(r, ["tbl", "id"], chunk=c).drop("bare_letters", "is_bare").collect())) for c in (1 << 15, 37))
-    assert one == many and len(one) == 5
-    got = {x.id: (x.is_prose, x.is_bare) for x in quality.text_statistics(r, ["tbl", "id"]).collect()}
-    assert got == {1: (True, False), 2: (False, False), 5: (False, True), 6: (False, False)}
-    assert quality.text_statistics(r.limit(0), ["tbl", "id"]).count() == 0
+    one, many, some = (sorted(map(tuple, quality.text_statistics(r, ["tbl", "id"], KNOWN, chunk=c).collect())) for c in (1 << 15, 37, 500))
+    assert one == many == some and len(one) == 7
+    got = {x.id: (x.is_prose, x.is_bare) for x in quality.text_statistics(r, ["tbl", "id"], KNOWN).collect()}
+    assert got == {1: (True, False), 2: (False, False), 5: (False, True), 6: (False, False), 7: (False, True), 8: (False, False)}
+    assert quality.text_statistics(r.limit(0), ["tbl", "id"], KNOWN).count() == 0
+
+
+def test_common_words_come_from_a_table(spark):
+    words = spark.createDataFrame([("en", " The"), ("en", None), ("de", "der"), ("de", "der")], "lang string, word string")
+    assert quality.common_words(words) == {"the", "der"} and quality.common_words(words.limit(0)) == frozenset()
 
 
 def test_prose_and_lists():
-    share = lambda t: (p := quality.whole_text(t))["sentence_chars"] / p["n_chars"]
+    share = lambda t: (p := quality.whole_text(t, KNOWN))["sentence_chars"] / p["n_chars"]
     assert share(PROSE) > 0.8 and share("\n".join(f"- {s}" for s in PROSE.split(". "))) > 0.6
     assert share("costs, prices, orders, yields, loans, margins, rates") == 0
     assert share("周五晚间，董事会上涨7.8%，尽管预期不及预期。锐岸物流股价公布创纪录成本。") > 0.9
@@ -81,9 +108,9 @@ def test_cut_texts(spark):
         ("documents", 7, many + " — Night desk"), ("documents", 8, None), ("documents", 9, "a | b | c\n1 | 2 | 3"), ("documents", 10, many + " The board of ste..."), ("news_item", 11, many + " The inventories rem &am"), ("news_item", 12, many + " $ABC $XYZ"),
         ("social_post", 20, "so the inventories reluctan"), ("social_post", 21, "so the inventories remained steady"), ("social_post", 22, "the quarterly divid…"), ("social_post", 23, "lol"), ("social_post", 24, "remained steady #inven"), ("social_post", 25, ""),
     ]
-    got = {r.id for r in truncation.truncated(recs(spark, rows)).where("cut").collect()}
+    got = {r.id for r in truncation.truncated(recs(spark, rows), KNOWN, POSTS).where("cut").collect()}
     assert got == {1, 3, 10, 11, 20, 22}
-    assert truncation.truncated(recs(spark, rows[:0])).count() == 0
+    assert truncation.truncated(recs(spark, rows[:0]), KNOWN, POSTS).count() == 0
 
 
 def test_a_fragment_met_elsewhere_is_still_cut(spark):
@@ -91,7 +118,7 @@ def test_a_fragment_met_elsewhere_is_still_cut(spark):
     marks = ["Read more", "[+66 chars]", "[more]", "</p>", "&am", "https://t.example/abc"]
     rows = [("documents", 1, many), ("documents", 2, many.replace("inventories", "invent ories", 1)), *[("news_item", 10 + i, PROSE + f" It rose reluctan {m}") for i, m in enumerate(marks)]]
     rows += [("social_post", 20, "so they stayed reluctan"), ("social_post", 21, "see the invent"), ("social_post", 22, "it went low"), ("social_post", 23, "so they stayed reluctantly")]
-    assert {r.id for r in truncation.truncated(recs(spark, rows)).where("cut and tbl = 'social_post'").collect()} == {20, 21}
+    assert {r.id for r in truncation.truncated(recs(spark, rows), KNOWN, POSTS).where("cut and tbl = 'social_post'").collect()} == {20, 21}
 
 
 def test_verdicts_are_alike_at_every_size(spark):
@@ -102,7 +129,7 @@ def test_verdicts_are_alike_at_every_size(spark):
     posts += ["a solitary word", "such wizar", *["the wizards came!"] * 5]
     one = [("social_post", i, t) for i, t in enumerate(posts)]
     several = [("social_post", i + k * 1000, t) for k in range(6) for i, t in enumerate(posts)]
-    at = lambda rows: {r.id for r in truncation.truncated(recs(spark, rows)).where("cut").collect()}
+    at = lambda rows: {r.id for r in truncation.truncated(recs(spark, rows), KNOWN, POSTS).where("cut").collect()}
     few = at(one)
     assert few >= set(range(120, 140)) and posts.index("such wizar") in few and posts.index("a solitary word") not in few and not few & set(range(140, 160))
     assert at(several) == {i + k * 1000 for k in range(6) for i in few}
