@@ -29,11 +29,13 @@ TERMS = (
     "stock", "market", "price", "index", "invest", "trade", "share", "dollar", "euro", "yen", "pound", "currency", "exchange", "rate", "yield", "dividend", "profit", "revenue", "earnings", "economic", "economy", "growth", "inflation", "interest",
     "federal", "central bank", "monetary", "policy", "crisis", "volatility", "risk", "return", "portfolio", "asset", "bond", "commodity", "future", "option", "derivative", "hedge", "bull", "bear", "rally", "crash", "correction", "recession",
 )
-# Words of page furniture.
-JUNK = (
+# Words of page furniture, and of a page's navigation.
+REMOVED = (
     "cookie", "privacy policy", "terms of use", "subscribe", "newsletter", "related articles", "share this", "comment", "login", "sign up", "advertisement", "sponsored content", "follow us", "copyright", "all rights reserved", "reprint", "click here", "read more",
-    "sign in", "register", "log in", "sign out", "follow", "home", "news", "business", "sports", "entertainment", "technology", "health", "science", "world", "politics", "opinion", "life", "travel", "video", "photos", "weather", "market data", "search", "menu", "navigation", "navbar", "sidebar",
+    "sign in", "register", "log in", "sign out", "follow",
 )
+NAVIGATION = ("home", "news", "business", "sports", "entertainment", "technology", "health", "science", "world", "politics", "opinion", "life", "travel", "video", "photos", "weather", "market data", "search", "menu", "navigation", "navbar", "sidebar")
+JUNK = REMOVED + NAVIGATION
 # Boilerplate, from the phrase to the end of the text for those that end in .*
 BOILERPLATE = (
     "Advertisement", "Sponsored", "Click here.*", "Read more.*", "Sign up.*", "Subscribe.*", "Follow us.*", "Like us.*", "Share this.*", "Comment.*", "Related:.*", "Also read.*", "More from.*", "Previous article.*", "Next article.*", "©.*", "Copyright.*", "All rights reserved.*",
@@ -121,15 +123,29 @@ def _escaped(k: str) -> str:
     return "".join("\\" + c if c in "+-/.$" else c for c in k)
 
 
-def keyword_count(t: Column, keywords: tuple[str, ...]) -> Column:
-    """Occurrences of each keyword between word boundaries in the lower-case text, added up; null for null.
+def keyword_counts(t: Column, **lists: tuple[str, ...]) -> Column:
+    """A struct of counts: occurrences of each list's keywords between word boundaries in the lower-case text, added up.
 
-    The pattern is only tried where the text contains the keyword, which a plain search tells much faster; a keyword with
-    capitals is in no lower-case text.
+    The text is cut into words once for all lists; keywords that are no single word are searched for in the text. A keyword
+    with capitals is in no lower-case text. Null for a null text.
     """
-    low = F.lower(t)
-    counts = [F.when(F.contains(low, F.lit(k)), F.regexp_count(low, F.lit(rf"\b{_escaped(k)}\b"))).otherwise(0) for k in keywords if k == k.lower()]
-    return F.when(t.isNotNull(), reduce(lambda a, b: a + b, counts))
+    bound = F.transform(F.array(F.lower(t)), lambda low: F.struct(low.alias("low"), F.split(low, r"[^\p{L}\p{M}\p{N}_]+").alias("words")))
+
+    def count(x: Column, keywords: tuple[str, ...]) -> Column:
+        small = [k for k in keywords if k == k.lower()]
+        words = [k for k in small if k.isalpha()]
+        total = F.size(F.filter(x["words"], lambda w: w.isin(words))) if words else F.lit(0)
+        for k in small:
+            if k not in words:
+                total = total + F.when(F.contains(x["low"], F.lit(k)), F.regexp_count(x["low"], F.lit(rf"\b{_escaped(k)}\b"))).otherwise(0)
+        return total
+
+    return F.when(t.isNotNull(), F.transform(bound, lambda x: F.struct(*[count(x, ks).alias(n) for n, ks in lists.items()]))[0])
+
+
+def keyword_count(t: Column, keywords: tuple[str, ...]) -> Column:
+    """Occurrences of one list's keywords, as in keyword_counts."""
+    return keyword_counts(t, n=keywords)["n"]
 
 
 def found_terms(t: Column, terms: tuple[str, ...] = TERMS, most: int = 10) -> Column:
@@ -150,11 +166,49 @@ def strip_boilerplate(t: Column) -> Column:
     return reduce(lambda c, p: F.regexp_replace(c, f"(?is){p}", " "), BOILERPLATE, t)
 
 
+def strip(t: Column) -> Column:
+    """The text without white space around it."""
+    return F.regexp_replace(t, f"^[{WS}]+|[{WS}]+$", "")
+
+
 def content_lines(t: Column) -> Column:
-    """Lines of ten or more characters that hold no page furniture and look like no address; lower case."""
-    low = F.transform(F.split(t, "\n"), lambda x: F.trim(F.lower(x)))
-    plain = lambda x: ~reduce(lambda a, b: a | b, [F.contains(x, F.lit(k)) for k in JUNK]) & ~x.rlike(r"https?://|www\.|\.[a-z]{2,3}/")
-    return F.array_join(F.filter(low, lambda x: (F.length(x) >= 10) & plain(x)), "\n")
+    """Lines of ten or more characters without page furniture, address or short navigation, less words of advertising; lower case.
+
+    What has five characters or fewer without those words is dropped too.
+    """
+    low = F.transform(F.split(t, "\n"), lambda x: strip(F.lower(x)))
+    junk = lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(k)) for k in JUNK])
+    address = lambda x: x.rlike(r"https?://|www\.|\.[a-z]{2,3}/")
+    lead = lambda x: (n_words(x) < 5) & x.rlike("^(home|news|about)")
+    kept = F.filter(low, lambda x: (F.length(x) >= 10) & ~junk(x) & ~address(x) & ~lead(x))
+    said = F.transform(kept, lambda x: strip(F.regexp_replace(x, r"\b(ad|ads|advertisement|sponsored)\b", "")))
+    return F.array_join(F.filter(said, lambda x: F.length(x) > 5), "\n")
+
+
+def keep_allowed_spaced(t: Column) -> Column:
+    """Letters, digits and common punctuation of ASCII; every other sign is a blank, and blanks are squeezed."""
+    return squeeze(F.regexp_replace(t, rf"""[^a-zA-Z0-9{WS}%+\-.,!?$'";:()@#&]""", " "))
+
+
+def sentence_length(t: Column) -> Column:
+    """Words a sentence, 0 without sentence end, in two places."""
+    return F.round(F.coalesce(n_words(t) / F.nullif(sentences(t), F.lit(0)), F.lit(0.0)), 2)
+
+
+def news_format(title: Column, content: Column) -> Column:
+    """[NEWS]title.content with the title's word signs, blanks and hyphens, if it has more than two words, else [NEWS]content."""
+    clean = strip(F.substring(F.regexp_replace(title, rf"(?U)[^\w{WS}\-]", ""), 1, 150))
+    return F.when(F.coalesce(n_words(clean) > 2, F.lit(False)), F.concat(F.lit("[NEWS]"), clean, F.lit("."), content)).otherwise(F.concat(F.lit("[NEWS]"), content))
+
+
+def safe_name(t: Column) -> Column:
+    """A ticker as a file name: without ^, and with _ for /."""
+    return F.translate(t, "/^", "_")
+
+
+def symbol_list(t: Column) -> Column:
+    """Upper-case symbols of a comma-separated list, blank ones left out."""
+    return F.filter(F.transform(F.split(t, ","), lambda x: F.upper(strip(x))), lambda x: x != "")
 
 
 def crawled_english(t: Column) -> Column:

@@ -157,6 +157,50 @@ def newest_wins(*frames: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("_n", pick).where("_n = 1").drop("_n", "_age")
 
 
+def first_wins(*frames: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of all frames, of equal keys the one of the first frame."""
+    return newest_wins(*reversed(frames), keys=keys)
+
+
+def ema(rows: DataFrame, keys: list[str], order: str, value: str, span: int) -> DataFrame:
+    """(…, ema): exponential moving average with alpha 2 / (span + 1), from the first value on; a null keeps the average."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    alpha = 2.0 / (span + 1)
+    step = lambda a, x: F.when(x.isNull(), a).when(a.isNull(), x).otherwise(x * alpha + a * (1 - alpha))
+    series = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))).alias("s"))
+    grown = F.aggregate(
+        "s", F.array().cast("array<struct<o:string,e:double>>"),
+        lambda acc, x: F.concat(acc, F.array(F.struct(x["o"].cast("string").alias("o"), step(F.when(F.size(acc) > 0, F.try_element_at(acc, F.lit(-1))["e"]), x["v"]).alias("e")))),
+    )
+    flat = series.select(*keys, F.explode(grown).alias("x")).select(*keys, F.col("x.o").alias("_o"), F.col("x.e").alias("ema"))
+    return rows.withColumn("_o", F.col(order).cast("string")).join(flat, [*keys, "_o"]).drop("_o")
+
+
+def wacc(equity: Column, debt: Column, cost_of_equity: Column, cost_of_debt: Column, tax: float) -> Column:
+    """Weighted average cost of capital."""
+    total = F.nullif(equity + debt, F.lit(0.0))
+    return equity / total * cost_of_equity + debt / total * cost_of_debt * (1 - tax)
+
+
+def with_random(vectors: DataFrame, every: int = 7, start: int = 2, seed: int = 42) -> DataFrame:
+    """(month, values): each month's values at start, start + every, …, and as many uniform values from -1 to 1 by seed and month."""
+    slots = F.sequence(F.lit(start), F.size("values") - 1, F.lit(every))
+    taken = F.when(F.size("values") > start, F.transform(slots, lambda i: F.get("values", i))).otherwise(F.array().cast("array<float>"))
+    value = lambda i: (F.pmod(F.xxhash64("month", i, F.lit(seed)), F.lit(1 << 31)) / float(1 << 30) - 1).cast("float")
+    drawn = F.when(F.size("values") > start, F.transform(slots, value)).otherwise(F.array().cast("array<float>"))
+    return vectors.select("month", F.concat(taken, drawn).alias("values"))
+
+
 def inventory(px: DataFrame) -> DataFrame:
-    """(ticker, n_rows, start, end, coverage_days, null_closes) of each cached series."""
-    return px.groupBy("ticker").agg(F.count("*").alias("n_rows"), F.min("date").alias("start_date"), F.max("date").alias("end_date"), F.datediff(F.max("date"), F.min("date")).alias("coverage_days"), F.count_if(F.col("close").isNull()).alias("null_closes"))
+    """(ticker, n_rows, start, end, coverage_days, null_<column>, has_<price>, error) of each cached series.
+
+    Nulls are counted in every other column; error names what is missing for a price.
+    """
+    others = [c for c in px.columns if c not in ("ticker", "date")]
+    prices = [c for c in ("close", "adj_close") if c in px.columns]
+    out = px.groupBy("ticker").agg(
+        F.count("*").alias("n_rows"), F.min("date").alias("start_date"), F.max("date").alias("end_date"), F.datediff(F.max("date"), F.min("date")).alias("coverage_days"), *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in others],
+    )
+    flags = {f"has_{c}": F.col(f"null_{c}") < F.col("n_rows") if c in prices else F.lit(False) for c in ("close", "adj_close")}
+    priced = F.col("has_close") | F.col("has_adj_close")
+    return out.withColumns(flags).withColumn("error", F.when(~priced, "no close or adj_close").when(F.col("start_date").isNull(), "no date"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.operators.panel import month, ratio
+from marlstone.session import settle
 
 RUN = ["model", "seed"]
 
@@ -119,10 +120,36 @@ def run_matrix(results: DataFrame, runs: list[str], value: str) -> DataFrame:
     return results.groupBy("month").pivot("run", runs).agg(F.first(value))
 
 
+def ledger(weights: DataFrame, returns: DataFrame) -> DataFrame:
+    """(…, weight, ret, contribution): every weight with its month's return and what it brought; null where there is none."""
+    both = weights.join(returns.select("month", "ticker", "ret"), ["month", "ticker"], "left")
+    return both.withColumn("contribution", F.col("weight") * F.col("ret"))
+
+
+def observed(vectors: DataFrame, months: DataFrame, length: int) -> DataFrame:
+    """(month, values) of all months asked for; a month without a vector of the length has zeros."""
+    known = vectors.where(F.size("values") == length).select("month", "values")
+    zeros = F.array_repeat(F.lit(0.0), length)
+    return months.join(known, "month", "left").select("month", F.coalesce("values", zeros).alias("values"))
+
+
+def positions(rows: DataFrame, order: str) -> DataFrame:
+    """(…, position) from 1 on in the order, ties by chance: ranks within ranges of the order and the sizes of the ranges before.
+
+    Ranges are partitions of a range shuffle, so that no task sees all rows.
+    """
+    ranged = settle(rows.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("n"))
+    # one row a partition
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_part", before.alias("_before"))
+    ranked = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
+    return ranked.join(F.broadcast(offsets), "_part").withColumn("position", (F.col("_before") + F.col("_k")).cast("int")).drop("_part", "_k", "_before")
+
+
 def positional(left: DataFrame, right: DataFrame, order: str) -> DataFrame:
     """Rows of two frames side by side by their position in the order; the longer one's rest beside nulls."""
-    n = Window.orderBy(order)
-    return left.withColumn("position", F.row_number().over(n)).join(right.withColumn("position", F.row_number().over(n)), "position", "full")
+    return positions(left, order).join(positions(right, order), "position", "full")
 
 
 def confusion(scored: DataFrame, truth: Column, guess: Column) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions import html, web
 from marlstone.functions import text as T
-from marlstone.functions import web
 from marlstone.operators import corpus, portfolio
 from marlstone.plans.kit import Book, num, rounded
 from marlstone.session import table
@@ -49,6 +49,7 @@ def one(name: str, sql: str, column) -> None:
 one("str2_strip_web", strip_sql("t"), T.strip_web)
 one("str3_squeeze", SQUEEZED, T.squeeze)
 one("str4_keep_allowed", "regexp_replace(t, '[^A-Za-z0-9 %+.?!$]', '', 'g')", T.keep_allowed)
+one("str4_keep_allowed_spaced", rf"""trim(regexp_replace(regexp_replace(t, '[^a-zA-Z0-9{WS}%+\-.,!?$''";:()@#&]', ' ', 'g'), '[{WS}]+', ' ', 'g'))""", T.keep_allowed_spaced)
 one("str5_ascii_quotes", "replace(translate(t, '“”‘’–—', '\"\"''''--'), '…', '...')", T.ascii_quotes)
 one("str8_english_share", rf"round(length(regexp_replace(t, '[^A-Za-z \t\n\r\f\x0B]', '', 'g')) / nullif({SOLID}, 0), 6)", T.english_share)
 one("str9_letter_share", rf"round(length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) / nullif({SOLID}, 0), 6)", T.letter_share)
@@ -64,6 +65,7 @@ one("str15_negative_count", f"CAST({count_sql('t', T.NEGATIVE)} AS INTEGER)", la
 one("str15_has_digit", "regexp_matches(t, '[0-9]')", lambda t: t.rlike("[0-9]"))
 one("str16_found_terms", "array_to_string(list_filter([" + ", ".join(map(lit, T.TERMS)) + "], lambda k: contains(lower(t), k))[1:10], ',')", lambda t: F.array_join(T.found_terms(t), ","))
 one("str18_sentences", "CAST(len(regexp_extract_all(t, '[.!?]+')) AS INTEGER)", T.sentences)
+one("str18_sentence_length", f"round(coalesce(len({WORDS}) / nullif(len(regexp_extract_all(t, '[.!?]+')), 0), 0), 2)", T.sentence_length)
 one("str19_content_key", rf"md5(trim(regexp_replace(lower(substring(t, 1, 1000)), '[{WS}]+', ' ', 'g')))", T.content_key)
 one("str23_field_cut", "substring(t, 1, 200)", lambda t: F.substring(t, 1, 200))
 
@@ -85,10 +87,15 @@ def strip_boilerplate(s: SparkSession, d: str) -> DataFrame:
     return docs(s, d).select("doc_id", T.strip_boilerplate(F.col("t")).alias("value"))
 
 
-PLAIN = " AND ".join(f"NOT contains(x, {lit(k)})" for k in T.JUNK) + r" AND NOT regexp_matches(x, 'https?://|www\.|\.[a-z]{2,3}/')"
+STRIPPED = rf"regexp_replace(regexp_replace(y, '^[{WS}]+', ''), '[{WS}]+$', '')"
+PLAIN = " AND ".join(f"NOT contains(x, {lit(k)})" for k in T.JUNK) + rf" AND NOT regexp_matches(x, 'https?://|www\.|\.[a-z]{{2,3}}/') AND NOT (len(string_split_regex(x, '[{WS}]+')) < 5 AND regexp_matches(x, '^(home|news|about)'))"
 
 
-@BOOK.add("str7_content_lines", f"WITH {DOCS} SELECT doc_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda y: trim(lower(y))), lambda x: length(x) >= 10 AND {PLAIN}), chr(10)) AS value FROM d")
+@BOOK.add(
+    "str7_content_lines",
+    rf"""WITH {DOCS}, l AS (SELECT doc_id, t, list_filter(list_transform(string_split(t, chr(10)), lambda y: {STRIPPED.replace('regexp_replace(y', 'regexp_replace(lower(y)')}), lambda x: length(x) >= 10 AND {PLAIN}) AS kept FROM d)
+ SELECT doc_id, array_to_string(list_filter(list_transform(list_transform(kept, lambda y: regexp_replace(y, '\b(ad|ads|advertisement|sponsored)\b', '', 'g')), lambda y: {STRIPPED}), lambda x: length(x) > 5), chr(10)) AS value FROM l""",
+)
 def content_lines(s: SparkSession, d: str) -> DataFrame:
     return docs(s, d).select("doc_id", T.content_lines(F.col("t")).alias("value"))
 
@@ -136,11 +143,32 @@ def statistics(s: SparkSession, d: str) -> DataFrame:
     return rounded(corpus.statistics(posts(s, d), text="t"))
 
 
-@BOOK.add("agg17_agg20_before_after", "WITH " + CLEAN.replace("FROM social_post", "FROM (SELECT DISTINCT ON (id) * FROM social_post)") + f", a AS ({stats_sql('p')}), b AS ({stats_sql('cl')}) SELECT file_name, a.n AS n_before, b.n AS n_after, round(a.word_mean, 6) AS word_mean_before, round(b.word_mean, 6) AS word_mean_after, round(coalesce(b.n, 0) / a.n, 6) AS filter_rate FROM a LEFT JOIN b USING (file_name)")
-def before_after(s: SparkSession, d: str) -> DataFrame:
+COUNTED = ("n", "positive_keywords", "negative_keywords", "number_count")
+UNREPEATED = "WITH " + CLEAN.replace("FROM social_post", "FROM (SELECT DISTINCT ON (id) * FROM social_post)")
+
+
+def posts_and_cleaned(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     p = posts(s, d).dropDuplicates(["id"]).withColumnRenamed("t", "text")
-    c = corpus.clean_posts(p, unicode_form=False, prefix="")
-    return rounded(corpus.before_after(p, c).select("file_name", "n_before", "n_after", "word_mean_before", "word_mean_after", "filter_rate"))
+    return p, corpus.clean_posts(p, unicode_form=False, prefix="")
+
+
+@BOOK.add(
+    "agg17_before_after",
+    UNREPEATED + f", a AS ({stats_sql('p')}), b AS ({stats_sql('cl')}), c AS (SELECT file_name, count(*) FILTER (len({WORDS}) > 500) AS truncated_count FROM cl GROUP BY 1) SELECT file_name, "
+    + ", ".join(f"{x}.{m} AS {m}_{y}" for x, y in (("a", "before"), ("b", "after")) for m in COUNTED) + ", " + ", ".join(f"round({x}.{m}, 6) AS {m}_{y}" for x, y in (("a", "before"), ("b", "after")) for m in MEASURES)
+    + ", coalesce(truncated_count, 0) AS truncated_count, round(coalesce(b.n, 0) / a.n, 6) AS filter_rate FROM a LEFT JOIN b USING (file_name) LEFT JOIN c USING (file_name)",
+)
+def before_after(s: SparkSession, d: str) -> DataFrame:
+    return rounded(corpus.before_after(*posts_and_cleaned(s, d)))
+
+
+@BOOK.add("agg20_word_range", UNREPEATED + f" SELECT file_name, round(avg(len({WORDS})), 6) AS mean_words, CAST(max(len({WORDS})) AS BIGINT) AS most_words, CAST(min(len({WORDS})) AS BIGINT) AS least_words, round(count(*) / max(a.n), 6) AS retention FROM cl JOIN (SELECT file_name, count(*) AS n FROM p GROUP BY 1) a USING (file_name) GROUP BY file_name")
+def word_range(s: SparkSession, d: str) -> DataFrame:
+    p, c = posts_and_cleaned(s, d)
+    n = T.n_words(F.col("text"))
+    after = c.groupBy("file_name").agg(F.avg(n).alias("mean_words"), num(F.max(n)).alias("most_words"), num(F.min(n)).alias("least_words"), F.count("*").alias("kept"))
+    both = after.join(p.groupBy("file_name").agg(F.count("*").alias("n")), "file_name")
+    return rounded(both.select("file_name", "mean_words", "most_words", "least_words", (F.col("kept") / F.col("n")).alias("retention")))
 
 
 S500 = "substring(coalesce(text, ''), 1, 500)"
@@ -178,10 +206,25 @@ def pad_neutral(s: SparkSession, d: str) -> DataFrame:
     return rounded(corpus.pad_neutral(corpus.sentiment_matrix(corpus.monthly_sentiment(labelled(s, d).where("year is not null and month is not null"), ["year", "month", "grp"]), GROUPS), 2013, 2024))
 
 
-@BOOK.add("agg27_ml3_confusion", f"WITH {LABELS}, t AS (SELECT label AS truth, CASE WHEN id % 3 = 0 THEN 'Neutral' ELSE label END AS guess FROM lab) SELECT truth, guess, count(*) AS n FROM t GROUP BY 1, 2")
+TITLED = ", ".join(f"{n}_k AS (SELECT delivery_id, trim({x}) = '' AS blank, {count_sql(x, T.POSITIVE)} AS p, {count_sql(x, T.NEGATIVE)} AS m FROM news_item)" for n, x in (("text", S500), ("title", S500.replace("text", "title"))))
+TITLED += ", " + ", ".join(f"{n}_l AS (SELECT delivery_id, CASE WHEN blank THEN 'Error' WHEN p > m THEN 'Positive' WHEN p < m THEN 'Negative' ELSE 'Neutral' END AS label FROM {n}_k)" for n in ("text", "title"))
+TITLED += ", pairs AS (SELECT text_l.label AS truth, title_l.label AS guess FROM text_l JOIN title_l USING (delivery_id))"
+
+
+def titled(s: SparkSession, d: str) -> DataFrame:
+    """The label of each article's text as the truth, that of its title as the guess."""
+    label = lambda c: corpus.lexicon_label(F.col(c))[0]
+    return table(s, d, "news_item").select(label("text").alias("truth"), label("title").alias("guess"))
+
+
+@BOOK.add("agg27_confusion", f"WITH {TITLED} SELECT truth, guess, count(*) AS n FROM pairs GROUP BY 1, 2")
 def confusion(s: SparkSession, d: str) -> DataFrame:
-    guess = F.when(F.col("id") % 3 == 0, "Neutral").otherwise(F.col("label"))
-    return portfolio.confusion(labelled(s, d), F.col("label"), guess)
+    return portfolio.confusion(titled(s, d), F.col("truth"), F.col("guess"))
+
+
+@BOOK.add("ml3_accuracy", f"WITH {TITLED} SELECT count(*) AS n, count(*) FILTER (truth = guess) AS correct, round(avg(CAST(truth = guess AS DOUBLE)), 6) AS accuracy FROM pairs")
+def accuracy(s: SparkSession, d: str) -> DataFrame:
+    return rounded(corpus.accuracy(titled(s, d), F.col("truth"), F.col("guess")))
 
 
 @BOOK.add("topk4_first_per_month", "SELECT id, file_name, year, month FROM (SELECT DISTINCT id, file_name, CAST(year AS INTEGER) AS year, CAST(month AS INTEGER) AS month FROM social_post WHERE year IS NOT NULL AND month IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY file_name, year, month ORDER BY id) <= 3")
@@ -244,11 +287,35 @@ def composite_key(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "news_item").select("delivery_id", key.alias("key"))
 
 
-@BOOK.add("flt8_src20_symbol_newest", "SELECT delivery_id, strftime(received_at, '%Y-%m-%d %H:%M:%S') AS received_at FROM news_item WHERE upper(trim(coalesce(symbol, ''))) IN ('TIVU', '') AND received_at >= TIMESTAMP '2015-01-01'")
+@BOOK.add("flt8_sort2_symbol_newest", "SELECT delivery_id, strftime(received_at, '%Y-%m-%d %H:%M:%S') AS received_at, row_number() OVER (PARTITION BY upper(trim(coalesce(symbol, ''))) ORDER BY received_at DESC, delivery_id) AS place FROM news_item WHERE upper(trim(coalesce(symbol, ''))) IN ('TIVU', '') AND received_at >= TIMESTAMP '2015-01-01'")
 def symbol_newest(s: SparkSession, d: str) -> DataFrame:
     n = table(s, d, "news_item").where(web.symbol(F.col("symbol")).isin("TIVU", "") & (F.col("received_at") >= F.lit("2015-01-01").cast("timestamp_ntz")))
-    return n.select("delivery_id", F.date_format("received_at", "yyyy-MM-dd HH:mm:ss").alias("received_at"))
+    place = F.row_number().over(Window.partitionBy(web.symbol(F.col("symbol"))).orderBy(F.desc("received_at"), "delivery_id"))
+    return n.select("delivery_id", F.date_format("received_at", "yyyy-MM-dd HH:mm:ss").alias("received_at"), num(place).alias("place"))
+
+
+@BOOK.add("flt7_denied_hosts", rf"""WITH {LINKS} SELECT id, url FROM ld WHERE NOT regexp_matches(domain, '(^|\.)(t|go)\.')""")
+def denied_hosts(s: SparkSession, d: str) -> DataFrame:
+    return links(s, d).where(~F.col("domain").rlike(r"(^|\.)(t|go)\.")).select("id", "url")
+
+
+@BOOK.add("topk6_longest_text", "SELECT upper(trim(coalesce(symbol, ''))) AS symbol, max(length(text)) AS chars, max_by(md5(text), (length(text), text)) AS longest FROM news_item WHERE text IS NOT NULL GROUP BY 1")
+def longest_text(s: SparkSession, d: str) -> DataFrame:
+    n = table(s, d, "news_item").where("text is not null")
+    return n.groupBy(F.upper(F.trim(F.coalesce("symbol", F.lit("")))).alias("symbol")).agg(num(F.max(F.length("text"))).alias("chars"), F.md5(F.max_by("text", F.struct(F.length("text"), F.col("text")))).alias("longest"))
+
 
+@BOOK.add("str22_safe_names", "SELECT delivery_id, replace(replace(coalesce(symbol, ''), '^', ''), '/', '_') AS name, array_to_string(list_filter(list_transform(string_split(coalesce(symbol, ''), ','), lambda x: upper(trim(x))), lambda x: x <> ''), ',') AS symbols FROM news_item")
+def safe_names(s: SparkSession, d: str) -> DataFrame:
+    symbol = F.coalesce("symbol", F.lit(""))
+    return table(s, d, "news_item").select("delivery_id", T.safe_name(symbol).alias("name"), F.array_join(T.symbol_list(symbol), ",").alias("symbols"))
+
+
+@BOOK.add("str24_formatting", "SELECT asset, printf('%.2f%%', CAST(char_length_before_mean AS DOUBLE)) AS share, printf('%.4f', CAST(word_length_before_mean AS DOUBLE)) AS fixed FROM cleaning_stats WHERE isfinite(char_length_before_mean) AND isfinite(word_length_before_mean)")
+def formatting(s: SparkSession, d: str) -> DataFrame:
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    c = table(s, d, "cleaning_stats").where(finite("char_length_before_mean") & finite("word_length_before_mean"))
+    return c.select("asset", F.format_string("%.2f%%", "char_length_before_mean").alias("share"), F.format_string("%.4f", "word_length_before_mean").alias("fixed"))
 
 
 @BOOK.add("src21_join7_unseen", "SELECT delivery_id FROM news_item WHERE batch_id >= 2018010100 AND title NOT IN (SELECT title FROM news_item WHERE batch_id < 2018010100 AND title IS NOT NULL) AND title IS NOT NULL")
@@ -294,15 +361,15 @@ def scaling(s: SparkSession, d: str) -> DataFrame:
     return rounded(c.join(F.broadcast(ends), F.lit(True)).select("asset", ((F.col("original_count") - F.col("a")) / F.nullif(F.col("b") - F.col("a"), F.lit(0))).alias("scaled")))
 
 
-@BOOK.add("topk3_longest_lines", f"WITH {DOCS}, l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(line) DESC, line) AS k FROM l) SELECT doc_id, CAST(sum(length(line)) AS BIGINT) AS chars, count(*) AS lines FROM r WHERE k <= 3 GROUP BY 1")
+@BOOK.add("topk3_longest_lines", f"WITH {DOCS}, l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(line) DESC, line DESC) AS k FROM l) SELECT doc_id, string_agg(line, ' ' ORDER BY k) AS value FROM r WHERE k <= 20 GROUP BY 1")
 def longest_lines(s: SparkSession, d: str) -> DataFrame:
-    sizes = F.slice(F.sort_array(F.transform(F.split("t", "\n"), lambda x: F.length(x)), False), 1, 3)
-    return docs(s, d).select("doc_id", num(F.aggregate(sizes, F.lit(0), lambda a, b: a + b)).alias("chars"), num(F.size(sizes)).alias("lines"))
+    sized = F.sort_array(F.transform(F.split("t", "\n"), lambda x: F.struct(F.length(x).alias("n"), x.alias("line"))), False)
+    return docs(s, d).select("doc_id", F.array_join(F.transform(F.slice(sized, 1, 20), lambda x: x["line"]), " ").alias("value"))
 
 
-@BOOK.add("set3_distinct_words", rf"WITH {POSTS} SELECT id, CAST(len(list_distinct({WORDS})) AS BIGINT) AS n FROM p")
+@BOOK.add("set3_distinct_words", rf"WITH {POSTS}, u AS (SELECT DISTINCT id, file_name, t FROM p), w AS (SELECT id, file_name, unnest({WORDS}) AS word, unnest(range(1, len({WORDS}) + 1)) AS k FROM u), f AS (SELECT id, file_name, word, min(k) AS k FROM w GROUP BY 1, 2, 3), v AS (SELECT id, file_name, string_agg(word, ' ' ORDER BY k) AS value FROM f GROUP BY 1, 2) SELECT id, coalesce(value, '') AS value FROM u LEFT JOIN v USING (id, file_name)")
 def distinct_words(s: SparkSession, d: str) -> DataFrame:
-    return posts(s, d).select("id", num(F.size(F.array_distinct(T.words(F.col("t"))))).alias("n"))
+    return posts(s, d).select("id", "file_name", "t").distinct().select("id", F.array_join(F.array_distinct(T.words(F.col("t"))), " ").alias("value"))
 
 
 @BOOK.add("cond2_default_strings", rf"SELECT delivery_id, trim(coalesce(symbol, '')) AS symbol, trim(coalesce(title, '')) AS title, trim(coalesce(image, '')) AS image FROM news_item")
@@ -310,13 +377,63 @@ def default_strings(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "news_item").select("delivery_id", *[F.trim(F.coalesce(c, F.lit(""))).alias(c) for c in ("symbol", "title", "image")])
 
 
-@BOOK.add("html1_html2_main_text", None)
+@BOOK.add("html2_main_text", None)
 def main_text(s: SparkSession, d: str) -> DataFrame:
-    from marlstone.functions.html import main_text as extract
+    return docs(s, d).select("doc_id", html.main_text("t").alias("value"))
+
+
+@BOOK.add("html1_html2_page_parts", None)
+def page_parts(s: SparkSession, d: str) -> DataFrame:
+    return docs(s, d).select("doc_id", html.page_parts("t").alias("p")).select("doc_id", "p.*")
+
+
+@BOOK.add("html2_article_text", None)
+def article_text(s: SparkSession, d: str) -> DataFrame:
+    return docs(s, d).select("doc_id", html.article_text("t").alias("value"))
+
+
+@BOOK.add("html3_paragraphs", None)
+def page_paragraphs(s: SparkSession, d: str) -> DataFrame:
+    return docs(s, d).select("doc_id", html.page_paragraphs("t").alias("p")).select("doc_id", "p.*")
+
+
+@BOOK.add("src25_page_links", None)
+def page_links(s: SparkSession, d: str) -> DataFrame:
+    return docs(s, d).select("doc_id", F.explode(html.page_links(F.col("t"))).alias("url"))
 
-    return docs(s, d).select("doc_id", extract("t").alias("value"))
 
+WORDS_OF = lambda t: WORDS.replace("regexp_replace(t,", f"regexp_replace({t},")
+QUOTED = "replace(translate(t, '“”‘’–—', '\"\"''''--'), '…', '...')"
+ARTICLES = rf"""{DOCS}, e AS (SELECT doc_id, t, {WORDS_OF('lower(t)')} AS w FROM d WHERE length(regexp_replace(regexp_replace(t, '^[{WS}]+', ''), '[{WS}]+$', '')) > 20),
+g AS (SELECT doc_id, t FROM e WHERE length(regexp_replace(t, '[^a-zA-Z0-9 \t\n\r\f.,!?;:''"()-]', '', 'g')) / nullif(length(t), 0) >= 0.7 OR len(list_filter(w, lambda x: list_contains([{", ".join(map(lit, T.ENGLISH_WORDS))}], x))) / nullif(least(len(w), 100), 0) > 0.1),
+b AS (SELECT doc_id, {boiler_sql(QUOTED)} AS t FROM g),
+l AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(10)), lambda y: {STRIPPED.replace('regexp_replace(y', 'regexp_replace(lower(y)')}), lambda x: length(x) >= 10 AND {PLAIN}) AS kept FROM b),
+c AS (SELECT doc_id, array_to_string(list_filter(list_transform(list_transform(kept, lambda y: regexp_replace(y, '\b(ad|ads|advertisement|sponsored)\b', '', 'g')), lambda y: {STRIPPED}), lambda x: length(x) > 5), chr(10)) AS t FROM l),
+k AS (SELECT doc_id, trim(regexp_replace(regexp_replace(t, '[^a-zA-Z0-9{WS}%+\-.,!?$''";:()@#&]', ' ', 'g'), '[{WS}]+', ' ', 'g')) AS t FROM c),
+m AS (SELECT doc_id, '[NEWS]' || t AS t FROM k WHERE len({WORDS}) BETWEEN 20 AND 5000 AND coalesce(length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) / nullif({SOLID}, 0), 0) >= 0.7 AND len(regexp_extract_all(t, '[.!?]+')) >= 1),
+h AS (SELECT doc_id, t, md5(trim(regexp_replace(lower(substring(t, 1, 1000)), '[{WS}]+', ' ', 'g'))) AS content_hash FROM m)"""
 
-@BOOK.add("cleaned_articles", None)
+
+@BOOK.add("flt5_cleaned_articles", f"WITH {ARTICLES} SELECT doc_id, t AS text, content_hash, CAST(len({WORDS}) AS INTEGER) AS word_count, CAST(length(t) AS INTEGER) AS char_count FROM h QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY doc_id) = 1")
 def articles(s: SparkSession, d: str) -> DataFrame:
+    return corpus.clean_articles(table(s, d, "documents").select("doc_id", "text"), min_words=20, unicode_form=False)
+
+
+@BOOK.add("str1_cleaned_articles_nfkc", None)
+def articles_nfkc(s: SparkSession, d: str) -> DataFrame:
     return corpus.clean_articles(table(s, d, "documents").select("doc_id", "text"), min_words=20)
+
+
+def lexicon_model():
+    """A model of three logits a text, by words of rise and fall, to be used where no other is given."""
+    import re
+
+    import numpy as np
+
+    up, down = (re.compile("|".join(rf"\b{re.escape(k)}\b" for k in ks)) for ks in (T.POSITIVE, T.NEGATIVE))
+    return lambda texts: np.array([[len(up.findall(x.lower())), len(down.findall(x.lower())), 0.5] for x in texts], float)
+
+
+@BOOK.add("ml2_batched_scores", None)
+def batched_scores(s: SparkSession, d: str) -> DataFrame:
+    return rounded(corpus.score_batches(table(s, d, "news_item"), "delivery_id", "text", lexicon_model, ("Positive", "Negative", "Neutral")))

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.operators import grid, panel, portfolio
+from marlstone.operators import grid, panel, policies, portfolio
 from marlstone.plans.kit import Book, num, rounded
-from marlstone.session import table
+from marlstone.session import settle, table
 
 BOOK = Book()
 TICKERS = ["AF", "AO", "NF", "NO", "RF", "RO"]
@@ -190,11 +190,6 @@ def eval_roi(s: SparkSession, d: str) -> DataFrame:
     return rounded(roi(s, d))
 
 
-@BOOK.add("agg21_seed_means", f"WITH {MEAN} SELECT model, month, round(roi, 6) AS roi FROM mean")
-def seed_means(s: SparkSession, d: str) -> DataFrame:
-    return rounded(mean_roi(s, d))
-
-
 TRAIN = SUMW + ", " + FILLED + """, x AS (SELECT *, strftime(date, '%Y-%m') AS wm FROM filled UNION ALL SELECT *, strftime(date + INTERVAL 1 DAY, '%Y-%m') FROM filled WHERE date = last_day(date)),
 e AS (SELECT model, seed, w.month AS month, x.date, sum(x.close * w.weight) AS value FROM w JOIN x ON x.ticker = w.ticker AND x.wm = strftime(CAST(w.month || '-01' AS DATE) + INTERVAL 1 MONTH, '%Y-%m') GROUP BY 1, 2, 3, 4)"""
 
@@ -214,6 +209,12 @@ def back_test(s: SparkSession, d: str) -> DataFrame:
     return rounded(portfolio.back_test(sum_weighted(s, d).select("model", "seed", "month", "ticker", "weight"), filled(s, d), ["model", "seed"], 1, "pop"))
 
 
+@BOOK.add("agg21_seed_means", "SELECT model, month, round(avg(roi), 6) AS roi, round(avg(volatility), 6) AS volatility, round(avg(mdd), 6) AS mdd, round(avg(reward), 6) AS reward FROM (" + _back(SUMW, 1, "stddev_pop").replace("round(roi, 6) AS roi", "roi").replace("round(volatility, 6) AS volatility", "volatility").replace("round(mdd, 6) AS mdd", "mdd").replace("round(reward, 6) AS reward", "reward") + ") GROUP BY 1, 2")
+def seed_means(s: SparkSession, d: str) -> DataFrame:
+    runs = portfolio.back_test(sum_weighted(s, d).select("model", "seed", "month", "ticker", "weight"), filled(s, d), ["model", "seed"], 1, "pop")
+    return rounded(runs.groupBy("model", "month").agg(*[F.avg(c).alias(c) for c in ("roi", "volatility", "mdd", "reward")]))
+
+
 @BOOK.add("sim4_agg26_meta", _back(SOFTW, 0, "stddev_samp"))
 def meta(s: SparkSession, d: str) -> DataFrame:
     return rounded(portfolio.back_test(soft_weighted(s, d).select("model", "seed", "month", "ticker", "weight"), filled(s, d), ["model", "seed"], 0, "samp"))
@@ -241,6 +242,32 @@ def scorecard(s: SparkSession, d: str) -> DataFrame:
     return rounded(portfolio.scorecard(mean_roi(s, d), ["model"]).withColumn("total_return", F.col("total_return").cast("float")))
 
 
+BENCHED = MEAN + ", u AS (SELECT CAST(model AS VARCHAR) AS model, month, roi FROM mean UNION ALL SELECT 'equal_weight', month, avg(ret) FROM mret WHERE ret IS NOT NULL GROUP BY 2 UNION ALL SELECT 'index', month, ret FROM mret WHERE ret IS NOT NULL AND ticker = '" + TICKERS[0] + "')"
+
+
+@BOOK.add("eval2_benchmarks", f"WITH {BENCHED}{CARD.replace('FROM mean)', 'FROM u)')} " + _round(CARD_NAMES, "card", "model, CAST(total_return AS FLOAT) AS total_return"))
+def benchmarks(s: SparkSession, d: str) -> DataFrame:
+    r = month_rets(s, d).where("ret is not null")
+    equal = r.groupBy("month").agg(F.avg("ret").alias("roi")).select(F.lit("equal_weight").alias("model"), "month", "roi")
+    index = r.where(F.col("ticker") == TICKERS[0]).select(F.lit("index").alias("model"), "month", F.col("ret").alias("roi"))
+    runs = mean_roi(s, d).select(F.col("model").cast("string").alias("model"), "month", "roi")
+    return rounded(portfolio.scorecard(runs.unionByName(equal).unionByName(index), ["model"]).withColumn("total_return", F.col("total_return").cast("float")))
+
+
+@BOOK.add("rl1_trained_policies", None)
+def trained(s: SparkSession, d: str) -> DataFrame:
+    runs = [("evolve", seed) for seed in range(5)]
+    return rounded(policies.train(panel.observations(dense(s, d)), month_rets(s, d), TICKERS, runs, 200))
+
+
+@BOOK.add("rl2_meta_policy", None)
+def meta_policy(s: SparkSession, d: str) -> DataFrame:
+    """A policy on the weights of trained policies."""
+    first = settle(trained(s, d), "runs")
+    vectors = first.groupBy("month").agg(F.array_sort(F.collect_list(F.struct("ticker", "seed", "action"))).alias("v")).select("month", F.transform("v", lambda x: x["action"]).alias("values"))
+    return rounded(policies.train(vectors, month_rets(s, d), TICKERS, [("evolve", 1)], 200))
+
+
 @BOOK.add("win12_rolling_sharpe", f"WITH {MEAN} SELECT model, month, round(CASE WHEN s > 0 THEN m * 12 / (s * sqrt(12)) ELSE 0 END, 6) AS rolling_sharpe FROM (SELECT *, count(roi) OVER w AS n, avg(roi) OVER w AS m, stddev_pop(roi) OVER w AS s FROM mean WINDOW w AS (PARTITION BY model ORDER BY month ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)) WHERE n = 12")
 def rolling(s: SparkSession, d: str) -> DataFrame:
     return rounded(portfolio.rolling_sharpe(mean_roi(s, d), ["model"]))
@@ -254,6 +281,29 @@ def roi_matrix(s: SparkSession, d: str) -> DataFrame:
     return rounded(portfolio.run_matrix(roi(s, d).withColumn("run", F.concat(F.lit("m"), "model", F.lit("_s"), "seed")), RUNS, "roi"))
 
 
+@BOOK.add("ens3_value_matrix", f"WITH {ROI}, v AS (SELECT month, 'm' || model || '_s' || seed AS run, 10000.0 * exp(sum(ln(1 + roi)) OVER (PARTITION BY model, seed ORDER BY month)) AS value FROM roi) SELECT month, " + ", ".join(f"CAST(max(value) FILTER (run = '{r}') AS FLOAT) AS {r}" for r in RUNS) + " FROM v GROUP BY month")
+def value_matrix(s: SparkSession, d: str) -> DataFrame:
+    grown = portfolio.cumulative(roi(s, d), ["model", "seed"], minus_one=False)
+    rows = grown.select("month", F.concat(F.lit("m"), "model", F.lit("_s"), "seed").alias("run"), (10_000.0 * F.col("cumulative")).alias("value"))
+    m = portfolio.run_matrix(rows, RUNS, "value")
+    return m.select("month", *[F.col(r).cast("float").alias(r) for r in RUNS])
+
+
+@BOOK.add("sim6_ledger", f"WITH {SUMW}, {FILLED}{MRET} SELECT model, seed, month, ticker, round(action, 6) AS action, round(weight, 6) AS weight, round(ret, 6) AS ret, round(weight * ret, 6) AS contribution FROM w LEFT JOIN (SELECT month, ticker, ret FROM mret) USING (month, ticker)")
+def ledger_rows(s: SparkSession, d: str) -> DataFrame:
+    w = sum_weighted(s, d).select("model", "seed", "month", "ticker", "action", "weight")
+    return rounded(portfolio.ledger(w, month_rets(s, d)))
+
+
+@BOOK.add("sim3_text_observations", f"WITH {FILLED}{MRET}, o AS (SELECT month, " + ", ".join(f"max(ret) FILTER (ticker = '{t}') AS \"{t}\"" for t in TICKERS) + " FROM mret WHERE month <= '1996-12' GROUP BY 1), m AS (SELECT strftime(x, '%Y-%m') AS month FROM (SELECT unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '1998-12-01', INTERVAL 1 MONTH)) AS x)) SELECT month, " + ", ".join(f"round(coalesce(\"{t}\", 0), 6) AS v{i}" for i, t in enumerate(TICKERS)) + " FROM m LEFT JOIN o USING (month)")
+def text_observations(s: SparkSession, d: str) -> DataFrame:
+    known = month_rets(s, d).where("month <= '1996-12'").groupBy("month").pivot("ticker", TICKERS).agg(F.first("ret"))
+    vectors = known.select("month", F.array(*[F.coalesce(F.col(f"`{t}`"), F.lit(0.0)) for t in TICKERS]).alias("values"))
+    months = s.range(1).select(F.explode(F.sequence(F.lit("1995-01-01").cast("date"), F.lit("1998-12-01").cast("date"), F.expr("interval 1 month"))).alias("m")).select(F.date_format("m", "yyyy-MM").alias("month"))
+    o = portfolio.observed(vectors, months, len(TICKERS))
+    return rounded(o.select("month", *[F.get("values", F.lit(i)).alias(f"v{i}") for i in range(len(TICKERS))]))
+
+
 LABELS = [f"{t}_{m}_{x}" for t in TICKERS for m in range(2) for x in range(2)]
 
 
@@ -269,6 +319,13 @@ def two_sources(s: SparkSession, d: str) -> DataFrame:
     return rounded(a.join(b, ["month", "ticker"]))
 
 
+@BOOK.add("join10_observations_correlations", f"WITH {SUMW}, {FILLED}{MRET}, c AS (SELECT a.month AS month, count(*) AS pairs FROM mret a JOIN mret b ON a.month = b.month AND a.ticker < b.ticker WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY 1) SELECT w.model, w.seed, w.month, count(*) AS weights, max(c.pairs) AS pairs FROM w JOIN c ON w.month = c.month GROUP BY 1, 2, 3")
+def observed_pairs(s: SparkSession, d: str) -> DataFrame:
+    r = month_rets(s, d).where("ret is not null").select("month", "ticker")
+    pairs = r.join(r.withColumnRenamed("ticker", "other"), "month").where("ticker < other").groupBy("month").agg(F.count("*").alias("pairs"))
+    return sum_weighted(s, d).join(pairs, "month").groupBy("model", "seed", "month").agg(F.count("*").alias("weights"), F.max("pairs").alias("pairs"))
+
+
 @BOOK.add("join11_positional", f"WITH {MEAN}, a AS (SELECT month AS m1, roi AS r1, row_number() OVER (ORDER BY month) AS position FROM mean WHERE model = 0), b AS (SELECT month AS m2, roi AS r2, row_number() OVER (ORDER BY month) AS position FROM mean WHERE model = 1 AND month > '1995-03') SELECT position, m1, round(r1, 6) AS r1, m2, round(r2, 6) AS r2 FROM a FULL JOIN b USING (position)")
 def positional(s: SparkSession, d: str) -> DataFrame:
     m = mean_roi(s, d)
@@ -313,7 +370,7 @@ def gaps(s: SparkSession, d: str) -> DataFrame:
     return panel.coverage_gaps(prices(s, d), F.lit("1995-01-01").cast("date"), F.lit("2001-12-31").cast("date"))
 
 
-@BOOK.add("src13_agg28_29_inventory", f"WITH {PANEL} SELECT ticker, count(*) AS n_rows, min(date) AS start_date, max(date) AS end_date, CAST(max(date) - min(date) AS INTEGER) AS coverage_days, count(*) FILTER (close IS NULL) AS null_closes FROM panel GROUP BY 1")
+@BOOK.add("src13_agg28_29_inventory", f"WITH {PANEL} SELECT ticker, count(*) AS n_rows, min(date) AS start_date, max(date) AS end_date, CAST(max(date) - min(date) AS INTEGER) AS coverage_days, count(*) FILTER (close IS NULL) AS null_close, count(close) > 0 AS has_close, false AS has_adj_close, CASE WHEN count(close) = 0 THEN 'no close or adj_close' END AS error FROM panel GROUP BY 1")
 def inventory(s: SparkSession, d: str) -> DataFrame:
     return panel.inventory(dense(s, d))
 

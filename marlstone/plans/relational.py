@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.engine import Engine
 from marlstone.functions import text as T
-from marlstone.operators import asof
+from marlstone.operators import asof, panel
+from marlstone.plans import market
 from marlstone.plans.corpus_queries import S500, count_sql
 from marlstone.plans.kit import Book, num, rounded
 from marlstone.session import table
+from marlstone.sources import stores
 from marlstone.streaming import incremental
 
 BOOK = Book()
 
 
+def matching(rows: DataFrame, pattern: str) -> DataFrame:
+    """The columns whose names a pattern is found in."""
+    return rows.select(*[c for c in rows.columns if re.search(pattern, c)])
+
+
 @BOOK.add("src9_sql_passthrough", "SELECT n_name, count(*) AS customers, round(avg(c_acctbal), 6) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
 def passthrough(s: SparkSession, d: str) -> DataFrame:
     return Engine(s, d).query("SELECT n_name, count(*) AS customers, round(avg(c_acctbal), 6) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
@@ -152,3 +161,64 @@ def stream_upsert(s: SparkSession, d: str) -> DataFrame:
 @BOOK.add("stream4_request_gaps", "SELECT event_id, user_id, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)), -1) AS gap_us FROM events")
 def request_gaps(s: SparkSession, d: str) -> DataFrame:
     return incremental.spacing(s, f"{d}/events.parquet")
+
+
+@BOOK.add("map1_functions", "SELECT file_name, string_agg(CAST(month AS VARCHAR), ',' ORDER BY month) AS months, CAST(sum(n) AS BIGINT) AS posts, CAST(max(n) FILTER (month = 1) AS BIGINT) AS january FROM (SELECT file_name, CAST(month AS INTEGER) AS month, count(*) AS n FROM social_post WHERE month IS NOT NULL GROUP BY 1, 2) GROUP BY 1")
+def maps(s: SparkSession, d: str) -> DataFrame:
+    by = table(s, d, "social_post").where("month is not null").groupBy("file_name", F.col("month").cast("int").alias("month")).agg(F.count("*").alias("n"))
+    m = by.groupBy("file_name").agg(F.map_from_entries(F.collect_list(F.struct("month", "n"))).alias("m"))
+    return m.select("file_name", F.array_join(F.array_sort(F.map_keys("m")).cast("array<string>"), ",").alias("months"), F.aggregate(F.map_values("m"), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("posts"), F.try_element_at("m", F.lit(1)).alias("january"))
+
+
+@BOOK.add("prj3_prj5_columns", "SELECT * EXCLUDE (l_suppkey) FROM (SELECT COLUMNS('^l_.*key$') FROM lineitem)")
+def columns(s: SparkSession, d: str) -> DataFrame:
+    return matching(table(s, d, "lineitem"), "^l_.*key$").drop("l_suppkey")
+
+
+@BOOK.add("date2_coerced_dates", "SELECT delivery_id, strftime(try_cast(substring(trim(published_date), 1, 10) AS DATE), '%Y-%m-%d') AS day FROM news_item WHERE try_cast(substring(trim(published_date), 1, 10) AS DATE) IS NOT NULL AND regexp_matches(trim(published_date), '^[0-9]{4}-[0-9]{2}-[0-9]{2}')")
+def coerced(s: SparkSession, d: str) -> DataFrame:
+    n = stores.dated(table(s, d, "news_item"), ("Date", "published_date"))
+    return n.select("delivery_id", F.date_format("date", "yyyy-MM-dd").alias("day"))
+
+
+@BOOK.add("date6_month_difference", "SELECT o_orderkey, CAST((1998 - year(o_orderdate)) * 12 + (12 - month(o_orderdate)) AS BIGINT) AS months FROM orders")
+def month_difference(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "orders").select("o_orderkey", num(F.months_between(F.lit("1998-12-01").cast("date"), F.trunc(F.to_date("o_orderdate"), "month"))).alias("months"))
+
+
+@BOOK.add("win19_ema", "WITH RECURSIVE m AS (SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, CAST(count(*) AS DOUBLE) AS n, row_number() OVER (PARTITION BY event_type ORDER BY strftime(ts, '%Y-%m-%d')) AS k FROM events GROUP BY 1, 2), e AS (SELECT event_type, day, k, n AS ema FROM m WHERE k = 1 UNION ALL SELECT m.event_type, m.day, m.k, 0.4 * m.n + 0.6 * e.ema FROM e JOIN m ON m.event_type = e.event_type AND m.k = e.k + 1) SELECT event_type, day, round(ema, 6) AS ema FROM e")
+def moving_average(s: SparkSession, d: str) -> DataFrame:
+    daily = table(s, d, "events").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").cast("double").alias("n"))
+    return rounded(panel.ema(daily, ["event_type"], "day", "n", 4).select("event_type", "day", "ema"))
+
+
+@BOOK.add("math6_capital_cost", "SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity / (l_quantity + 50.0) * l_tax + 50.0 / (l_quantity + 50.0) * l_discount * (1 - 0.25) AS FLOAT) AS wacc FROM lineitem")
+def capital_cost(s: SparkSession, d: str) -> DataFrame:
+    equity, debt = F.col("l_quantity").cast("double"), F.lit(50.0)
+    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", panel.wacc(equity, debt, F.col("l_tax"), F.col("l_discount"), 0.25).cast("float").alias("wacc"))
+
+
+@BOOK.add("json1_objects_only", "SELECT event_id FROM events WHERE json_type(props) = 'OBJECT'")
+def objects_only(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "events").where(F.substring(F.ltrim(F.try_parse_json("props").cast("string")), 1, 1) == "{").select("event_id")
+
+
+@BOOK.add("math5_random_vectors", None)
+def random_vectors(s: SparkSession, d: str) -> DataFrame:
+    """prj10: the volatilities of each month's tickers and as many seeded uniform values."""
+    return panel.with_random(market.observations(s, d), seed=42)
+
+
+@BOOK.add("src2_split_keep_first", "SELECT ticker, date, close FROM (SELECT *, row_number() OVER (PARTITION BY ticker, date ORDER BY part) AS n FROM (SELECT l_returnflag AS ticker, CAST(l_shipdate AS DATE) AS date, max(l_extendedprice) AS close, 0 AS part FROM lineitem WHERE l_shipdate <= TIMESTAMP '1995-06-01' GROUP BY 1, 2 UNION ALL SELECT l_returnflag, CAST(l_shipdate AS DATE), min(l_extendedprice), 1 FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-06-01' GROUP BY 1, 2)) WHERE n = 1")
+def split_fetch(s: SparkSession, d: str) -> DataFrame:
+    by = [F.col("l_returnflag").alias("ticker"), F.to_date("l_shipdate").alias("date")]
+    li = table(s, d, "lineitem")
+    early = li.where("l_shipdate <= timestamp'1995-06-01'").groupBy(*by).agg(F.max("l_extendedprice").alias("close"))
+    late = li.where("l_shipdate >= timestamp'1995-06-01'").groupBy(*by).agg(F.min("l_extendedprice").alias("close"))
+    return panel.first_wins(early, late, keys=["ticker", "date"])
+
+
+@BOOK.add("src31_variant_links", "SELECT asset_name, count(DISTINCT id) AS posts FROM social_post JOIN asset_dim ON ticker = regexp_extract(file_name, '^([^_]+)_', 1) GROUP BY 1")
+def variant_links(s: SparkSession, d: str) -> DataFrame:
+    p = table(s, d, "social_post").select("id", F.regexp_extract("file_name", "^([^_]+)_", 1).alias("ticker"))
+    return p.join(F.broadcast(table(s, d, "asset_dim").select("ticker", "asset_name")), "ticker").groupBy("asset_name").agg(F.countDistinct("id").alias("posts"))
