@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.bloom import one_of
+from marlstone.llm.pairing import pairs_within
 from marlstone.session import settle
 
 # Letters of other scripts that look like a Latin one, in pairs.
@@ -127,16 +129,28 @@ def same_look_pairs(recs: DataFrame) -> DataFrame:
     looks = settle(looks)
     mixed = looks.groupBy("tbl", "look").agg(F.min("form").alias("a"), F.max("form").alias("b")).where("a <> b").select("tbl", "look")
     members = looks.join(mixed, ["tbl", "look"]).distinct()
-    left, right = members.alias("l"), members.alias("r")
-    return (
-        left.join(right, (F.col("l.tbl") == F.col("r.tbl")) & (F.col("l.look") == F.col("r.look")) & (F.col("l.form") != F.col("r.form")) & (F.col("l.id") < F.col("r.id")))
-        .select(F.col("l.tbl").alias("tbl"), F.col("l.id").alias("id_1"), F.col("r.id").alias("id_2"))
-        .distinct()
-    )
+    return pairs_within(members, ["tbl", "look"], "id", "id_1", "id_2", lambda a, b: a["form"] != b["form"]).select("tbl", "id_1", "id_2").distinct()
 
 
 def spelling_groups(recs: DataFrame) -> DataFrame:
-    """(tbl, id, canonical, spellings, rows): every record with its one spelling, and how many spellings and rows share it."""
-    one = canonical(recs.select("tbl", "id", "text"), "text").withColumn("form", F.xxhash64("text"))
-    counts = one.groupBy("tbl", F.xxhash64("canonical").alias("look")).agg(F.countDistinct("form").alias("spellings"), F.count("*").alias("rows"))
-    return one.select("tbl", "id", "canonical", F.xxhash64("canonical").alias("look")).join(counts, ["tbl", "look"]).drop("look")
+    """(tbl, id, canonical, spellings, rows): every record with its one spelling, and how many spellings and rows share it.
+
+    A null text stands alone. Texts are spelled once and written; looks are counted by 128-bit digests, and only texts whose look
+    is shared meet the counts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text")
+            looked = pa.table({"tbl": batch.column("tbl"), "id": batch.column("id"), "text": texts, "one": canonical_array(texts)})  # noqa: F841
+            yield from session().sql("SELECT tbl, id, one AS canonical, unhex(md5(one)) AS look, unhex(md5(text)) AS form FROM looked").to_arrow_table().to_batches()
+
+    one = settle(recs.select("tbl", "id", "text").mapInArrow(run, "tbl string, id bigint, canonical string, look binary, form binary"), "spelled")
+    forms = one.where("look is not null").groupBy("tbl", "look", "form").agg(F.count("*").alias("n"))
+    shared = settle(forms.groupBy("tbl", "look").agg(F.count("*").alias("spellings"), F.sum("n").alias("rows")).where("rows > 1"), "looks")
+    key = F.xxhash64("tbl", "look")
+    marked = one.drop("form").withColumn("_k", key)
+    may = one_of(shared.select(key.alias("k")))
+    single = marked.where(~may("_k")).select("tbl", "id", "canonical", F.lit(1).cast("bigint").alias("spellings"), F.lit(1).cast("bigint").alias("rows"))
+    several = marked.where(may("_k")).join(shared, ["tbl", "look"], "left")
+    return single.unionByName(several.select("tbl", "id", "canonical", *[F.coalesce(c, F.lit(1)).alias(c) for c in ("spellings", "rows")]))

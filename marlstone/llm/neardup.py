@@ -15,7 +15,7 @@ verified on the sets themselves. Only packed arrays travel: per task and bucket
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -26,14 +26,19 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.bloom import one_of
 from marlstone.llm.canonical import canonical_array
-from marlstone.session import release, settle
+from marlstone.llm.pairing import pairs_within
+from marlstone.session import settle
 
 RUN, THRESHOLD, LEAST_WORDS = 5, 0.8, 20
 SLACK = 2
 #: Sizes of band k are BAND * 4 ** k up to four times that; its segments are so many that the largest sets have LOAD runs in each.
 BAND, LOAD = 16, 1.2
-#: Costs are estimated from the run counts of about so many sets.
-SAMPLE_SETS = 100_000
+#: Costs are estimated from the run counts of sets chosen by hash, of about so many bytes together; every set is indexed.
+SAMPLE_BYTES = 24 << 20
+#: A bucket of signatures is of sets of about so many bytes of runs; its task holds one bucket at a time.
+BUCKET_BYTES = 16 << 20
+#: Sets with too few units are compared with all sets in blocks of at most so many sets and bytes.
+BLOCK_SETS, BLOCK_BYTES = 5000, 32 << 20
 FAR = np.int16(32767)
 #: A sketch has 64 * 4 ** band bits, at most 64 * 4 ** 2.
 WIDEST = 2
@@ -455,11 +460,10 @@ def _candidates(signatures: DataFrame, threshold: Fraction) -> DataFrame:
     return met.repartition("a").sortWithinPartitions("a").mapInArrow(count, "a bigint, b bigint")
 
 
-def _costs(sets: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
-    """Runs that more than one set of a sample has, and the logarithm of their share; bounded by the sample's size."""
-    n = sets.count()
-    share = min(1.0, sample / max(n, 1))
-    rows = sets.where(F.pmod(F.xxhash64("seq"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("tbl", "seq", "runs").limit(2 * sample).toPandas().drop_duplicates(["tbl", "seq"])["runs"].tolist()
+def _costs(sets: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs that more than one set of a sample has, and the logarithm of their share; bounded by the sample's bytes."""
+    share = min(1.0, SAMPLE_BYTES / max(total, 1))
+    rows = sets.where(F.pmod(F.xxhash64("seq"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("tbl", "seq", "runs").toPandas().drop_duplicates(["tbl", "seq"])["runs"].tolist()
     if not rows:
         return np.zeros(1, np.uint64), np.zeros(1)
     runs, counts = np.unique(unpack40(b"".join(map(bytes, rows))), return_counts=True)
@@ -475,17 +479,16 @@ def similar_sets(recs: DataFrame, run: int = RUN, threshold: float = THRESHOLD,
     t = Fraction(str(threshold))
     read = settle(_sets(recs, run, least_words), "runs")
     members, sets = read.where("kind = 0").select("tbl", "id", "seq").distinct(), read.where("kind = 1").select("tbl", "seq", "runs")
-    costs = _costs(sets, SAMPLE_SETS)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = sets.agg(F.sum(F.length("runs"))).first()[0] or 0
+    costs = _costs(sets, total)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     candidates = settle(_candidates(_signatures(sets, costs, t, buckets), t), "candidates")
     wanted = candidates.where("a <> b").select("a", "b")
-    # the signatures have met; their shuffle files may go. Only the sets of candidates travel from here on
-    release(spark)
+    # only the sets of candidates travel from here on
     needed = sets.where(one_of(wanted.select(F.explode(F.array("a", "b")).alias("seq")))("seq")).repartition("seq").groupBy("tbl", "seq").agg(F.first("runs").alias("runs"))
     left, right = needed.select("tbl", F.col("seq").alias("a"), F.col("runs").alias("x")), needed.select(F.col("tbl").alias("tbl_2"), F.col("seq").alias("b"), F.col("runs").alias("y"))
     pairs = _verified(wanted.join(left, "a").join(right, "b").where("tbl = tbl_2").select("tbl", "a", "b", "x", "y"), threshold)
-    short = [r.a for r in candidates.where("a = b").limit(10_001).collect()]
-    if short:
+    if not (short := candidates.where("a = b").select(F.col("a").alias("seq")).distinct()).isEmpty():
         pairs = pairs.unionByName(_against_all(sets, short, threshold)).distinct()
     return members, pairs
 
@@ -506,24 +509,33 @@ def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.mapInArrow(check, "tbl string, a bigint, b bigint, similarity double")
 
 
-def _against_all(sets: DataFrame, short: list[int], threshold: float) -> DataFrame:
-    """The rare sets whose runs crowd into too few segments, as a stated query set against all sets, in blocks."""
-    if len(short) > 10_000:
-        raise ValueError("too many sets lack units; lower LOAD")
-    queries = [(r.tbl, r.seq, bytes(r.runs)) for r in sets.where(F.col("seq").isin(short)).dropDuplicates(["tbl", "seq"]).collect()]
+def _against_all(sets: DataFrame, short: DataFrame, threshold: float) -> DataFrame:
+    """The sets whose runs crowd into too few segments, as a stated query set against all sets, block by block."""
+    rare = settle(sets.join(short, "seq", "left_semi").groupBy("tbl", "seq").agg(F.first("runs").alias("runs")), "short")
+    n, size = rare.agg(F.count("*"), F.coalesce(F.sum(F.length("runs")), F.lit(0))).first()
+    blocks = max(-(-n // BLOCK_SETS), -(-size // BLOCK_BYTES), 1)
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for t, s, r in zip(batch.column("tbl").to_pylist(), batch.column("seq").to_pylist(), batch.column("runs").to_pylist()):
-                for qt, q, x in queries:
-                    if t == qt and s != q and min(len(r), len(x)) >= threshold * max(len(r), len(x)) and (v := jaccard(x, r)) >= threshold:
-                        a, b = ((q, s) if (len(x), q) > (len(r), s) else (s, q))
-                        out.append((t, a, b, v))
-            columns = list(zip(*out)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.float64()))], names=["tbl", "a", "b", "similarity"])
+    def against(queries: list[tuple[str, int, bytes]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for t, s, r in zip(batch.column("tbl").to_pylist(), batch.column("seq").to_pylist(), batch.column("runs").to_pylist()):
+                    for qt, q, x in queries:
+                        if t == qt and s != q and min(len(r), len(x)) >= threshold * max(len(r), len(x)) and (v := jaccard(x, r)) >= threshold:
+                            a, b = ((q, s) if (len(x), q) > (len(r), s) else (s, q))
+                            out.append((t, a, b, v))
+                columns = list(zip(*out)) if out else [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.float64()))], names=["tbl", "a", "b", "similarity"])
+
+        return check
 
-    return sets.mapInArrow(check, "tbl string, a bigint, b bigint, similarity double")
+    found = None
+    for k in range(blocks):
+        block = rare.where(F.pmod(F.xxhash64("seq"), F.lit(blocks)) == k)
+        queries = [(r.tbl, r.seq, bytes(r.runs)) for r in block.collect()]
+        part = settle(sets.mapInArrow(against(queries), "tbl string, a bigint, b bigint, similarity double").distinct(), "block")
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def similar_pairs(recs: DataFrame, **how) -> DataFrame:
@@ -535,7 +547,7 @@ def similar_pairs(recs: DataFrame, **how) -> DataFrame:
     members, pairs = similar_sets(recs, **how)
     one, two = members.select("tbl", F.col("seq").alias("a"), F.col("id").alias("i")), members.select("tbl", F.col("seq").alias("b"), F.col("id").alias("j"))
     across = pairs.select("tbl", "a", "b").join(one, ["tbl", "a"]).join(two, ["tbl", "b"]).select("tbl", "i", "j")
-    copies = one.join(two, (one["tbl"] == two["tbl"]) & (one["a"] == two["b"]) & (one["i"] < two["j"])).select(one["tbl"], "i", "j")
+    copies = pairs_within(members, ["tbl", "seq"], "id", "i", "j").select("tbl", "i", "j")
     both = across.unionByName(copies).where("i <> j")
     return both.select("tbl", F.least("i", "j").alias("id_1"), F.greatest("i", "j").alias("id_2")).distinct()
 

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from marlstone.llm import tokens
 from marlstone.session import settle
 
-#: Ranks within one length are counted in so many parts, so that no length is ranked in one task.
-SALTS = 64
+#: Ranks within one length are counted in parts of about so many items in all, at least LEAST_PARTS, so that no length is ranked in one task.
+PART_ITEMS, LEAST_PARTS = 100_000, 64
 #: Plans of fewer slots are broadcast; a plan's size is bounded by the capacity, not by the number of texts.
 BROADCAST_SLOTS = 100_000
 PLAN = "capacity_id int, length int, rank_from bigint, slots bigint, container_from bigint, per_container int"
@@ -91,7 +91,9 @@ def containers(sizes: DataFrame, capacities: DataFrame, key: str = "doc_id") ->
     that repeat a key are texts of their own. Capacities that are null or not above zero are left out.
     """
     spark = sizes.sparkSession
-    items = settle(pieces(sizes, capacities, key), "pieces").withColumn("salt", F.pmod(F.xxhash64(key, "piece"), F.lit(SALTS)))
+    items = settle(pieces(sizes, capacities, key), "pieces")
+    salts = max(LEAST_PARTS, -(-items.count() // PART_ITEMS))
+    items = items.withColumn("salt", F.pmod(F.xxhash64(key, "piece"), F.lit(salts)))
     parts = items.groupBy("capacity_id", "capacity_tokens", F.col("tokens").alias("length"), "salt").agg(F.count("*").alias("n"))
     parts = settle(parts, "lengths")
     # at most one row for each length up to the capacity comes to the driver

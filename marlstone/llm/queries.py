@@ -105,7 +105,10 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_shared(spark: SparkSession, d: str) -> DataFrame:
-    return spans.shared_part(table(spark, d, "documents"))
+    """Spans as begin-end, the end not included, in their order."""
+    part = spans.shared_part(table(spark, d, "documents"))
+    told = F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["begins"], x["ends"])), ",")
+    return part.withColumn("spans", told).withColumn("shared_share", F.round("shared_share", 6))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

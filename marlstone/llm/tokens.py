@@ -9,17 +9,19 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterator
+import os
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.arrowkit import char_classes, code_points, flat_bytes, slices
-from marlstone.session import tokenizer_file
 
+FOLDER = "/opt/tokenizers"
 #: Words of more bytes are merged with a heap: the rounds' work grows with the square of a word's length.
 LONG_WORD = 256
 NONE = np.int64(1) << 40
@@ -179,17 +181,37 @@ def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return out, total[np.searchsorted(at, offsets)]
 
 
+def tokenizer_file(name: str, path: str | None = None) -> str:
+    """Place of a public vocabulary file on the driver: the given path, else the installed package's folder."""
+    if path:
+        return path
+    try:
+        import public_tokenizers
+
+        return public_tokenizers.path(name)
+    except ImportError:
+        return os.path.join(FOLDER, name)
+
+
+def shipped(spark: SparkSession, name: str, path: str | None) -> Callable[[], str]:
+    """Hands the vocabulary file to all executors; its place there, to be asked for in a task."""
+    place = tokenizer_file(name, path)
+    spark.sparkContext.addFile(place)
+    base = os.path.basename(place)
+    return lambda: SparkFiles.get(base)
+
+
 def encode(df: DataFrame, key: str, text: str | Column, name: str = "byte_bpe_50k.json", path: str | None = None) -> DataFrame:
     """(key, ids): the ids of each text by a byte-level BPE vocabulary, special tokens' strings being ordinary text.
 
     A null or empty text has the empty list. Rows, repeated keys and null keys stay as they are; other columns are left out.
     """
-    place = tokenizer_file(name, path)
+    place = shipped(df.sparkSession, name, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, offsets = encode_texts(part.column("text"), place)
+                ids, offsets = encode_texts(part.column("text"), place())
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column("key"), lists], names=[key, "ids"])
 
@@ -199,12 +221,12 @@ def encode(df: DataFrame, key: str, text: str | Column, name: str = "byte_bpe_50
 
 def count(df: DataFrame, key: str, text: str | Column, name: str = "byte_bpe_50k.json", path: str | None = None) -> DataFrame:
     """(key, tokens): the number of ids of each text; 0 for a null or empty one."""
-    place = tokenizer_file(name, path)
+    place = shipped(df.sparkSession, name, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                _, offsets = encode_texts(part.column("text"), place)
+                _, offsets = encode_texts(part.column("text"), place())
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(np.diff(offsets))], names=[key, "tokens"])
 
     kind = df.select(key).schema[0].dataType.simpleString()

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from marlstone.llm import neardup, spans
+from marlstone.llm import neardup, pairing, spans
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -56,12 +56,22 @@ def test_hot_copies_and_groups(spark):
 
 def test_sets_without_enough_units_go_the_other_way(spark, monkeypatch):
     monkeypatch.setattr(neardup, "LOAD", 30.0)  # so few segments that most sets lack units
+    monkeypatch.setattr(neardup, "BLOCK_SETS", 20)
+    monkeypatch.setattr(neardup, "BUCKET_BYTES", 500)
     texts = corpus(random.Random(9), 60, [30, 60])
     df = spark.createDataFrame([("t", i, t) for i, t in texts.items()], "tbl string, id bigint, text string")
     got = {(r.id_1, r.id_2) for r in neardup.similar_pairs(df, run=3, threshold=0.5).collect()}
     assert got == brute(texts, 3, 0.5, 20)
 
 
+def test_pairs_within_groups_of_any_size(spark, monkeypatch):
+    monkeypatch.setattr(pairing, "PART", 7)
+    rows = [("a", 1, i) for i in range(30)] + [("a", 2, 1), ("b", 1, 5), ("b", 1, 6)]
+    df = spark.createDataFrame(rows, "t string, g int, id int")
+    got = sorted(map(tuple, pairing.pairs_within(df, ["t", "g"], "id", "one", "two").collect()))
+    assert got == sorted([("a", 1, i, j) for i in range(30) for j in range(i + 1, 30)] + [("b", 1, 5, 6)])
+
+
 def shared(texts):
     ids = sorted(texts)
     grams = {i: {texts[i][k : k + 200] for k in range(len(texts[i] or "") - 199)} for i in ids if texts[i]}

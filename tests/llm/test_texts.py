@@ -1,6 +1,8 @@
 import random
 
+import duckdb
 import pyarrow as pa
+import pytest
 
 from marlstone.llm import canonical, language, oracle, quality, queries, truncation
 from marlstone.session import table
@@ -30,6 +32,13 @@ def test_same_look_pairs(spark):
     assert canonical.same_look_pairs(recs(spark, rows[:0])).count() == 0
 
 
+def test_spelling_groups(spark):
+    rows = [("d", 1, "ab c"), ("d", 2, "ab\u00a0c"), ("d", 3, "ab c"), ("e", 4, "ab c"), ("d", 5, "x"), ("d", 6, None), ("d", 7, None), ("d", 8, "")]
+    got = {(r.tbl, r.id): (r.canonical, r.spellings, r.rows) for r in canonical.spelling_groups(recs(spark, rows)).collect()}
+    assert got == {("d", 1): ("ab c", 2, 3), ("d", 2): ("ab c", 2, 3), ("d", 3): ("ab c", 2, 3), ("e", 4): ("ab c", 1, 1), ("d", 5): ("x", 1, 1), ("d", 6): (None, 1, 1), ("d", 7): (None, 1, 1), ("d", 8): ("", 1, 1)}
+    assert canonical.spelling_groups(recs(spark, rows[:0])).count() == 0
+
+
 def test_canonical_keeps_other_columns(spark):
     df = spark.createDataFrame([(1, "ｘ", "old")], "id int, text string, canonical string")
     r = canonical.canonical(df, "text").first()
@@ -37,14 +46,14 @@ def test_canonical_keeps_other_columns(spark):
     assert canonical.canonical(df, "text", "text").first().text == "x"
 
 
-def test_p2_equals_its_sql(spark, data):
-    import duckdb
-
+@pytest.mark.parametrize("name", sorted(oracle.oracle_sql()))
+def test_query_equals_its_sql(spark, data, name):
     con = duckdb.connect()
-    for t in ("documents", "social_post", "news_item"):
+    for t in ("documents", "social_post", "news_item", "common_word"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
-    want = set(con.sql(oracle.oracle_sql()["p2_found"]).fetchall())
-    assert {tuple(r) for r in queries.p2_found(spark, data).collect()} == want
+    want = con.sql(oracle.oracle_sql()[name])
+    got = queries.queries()[name](spark, data).select(*want.columns)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want.fetchall()))
 
 
 ODD = [

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from marlstone.llm import packing, tokens
-from marlstone.session import tokenizer_file
+from marlstone.llm.tokens import tokenizer_file
 
 PATH = tokenizer_file("byte_bpe_50k.json")
 
