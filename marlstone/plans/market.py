@@ -319,11 +319,11 @@ def two_sources(s: SparkSession, d: str) -> DataFrame:
     return rounded(a.join(b, ["month", "ticker"]))
 
 
-@BOOK.add("join10_observations_correlations", f"WITH {SUMW}, {FILLED}{MRET}, c AS (SELECT a.month AS month, count(*) AS pairs FROM mret a JOIN mret b ON a.month = b.month AND a.ticker < b.ticker WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY 1) SELECT w.model, w.seed, w.month, count(*) AS weights, max(c.pairs) AS pairs FROM w JOIN c ON w.month = c.month GROUP BY 1, 2, 3")
+@BOOK.add("join10_observations_correlations", f"WITH {FEATS}{CORRS}, f AS (SELECT month, count(*) AS tickers, avg(volatility) AS volatility FROM feats GROUP BY 1), c AS (SELECT month, count(*) AS pairs, avg(corr) AS corr FROM corrs GROUP BY 1) SELECT month, tickers, pairs, round(volatility, 6) AS volatility, round(corr, 6) AS corr FROM f JOIN c USING (month)")
 def observed_pairs(s: SparkSession, d: str) -> DataFrame:
-    r = month_rets(s, d).where("ret is not null").select("month", "ticker")
-    pairs = r.join(r.withColumnRenamed("ticker", "other"), "month").where("ticker < other").groupBy("month").agg(F.count("*").alias("pairs"))
-    return sum_weighted(s, d).join(pairs, "month").groupBy("model", "seed", "month").agg(F.count("*").alias("weights"), F.max("pairs").alias("pairs"))
+    features = panel.monthly_features(dense(s, d)).groupBy("month").agg(F.count("*").alias("tickers"), F.avg("volatility").alias("volatility"))
+    pairs = panel.correlations(dense(s, d)).groupBy("month").agg(F.count("*").alias("pairs"), F.avg("corr").alias("corr"))
+    return rounded(features.join(pairs, "month").select("month", "tickers", "pairs", "volatility", "corr"))
 
 
 @BOOK.add("join11_positional", f"WITH {MEAN}, a AS (SELECT month AS m1, roi AS r1, row_number() OVER (ORDER BY month) AS position FROM mean WHERE model = 0), b AS (SELECT month AS m2, roi AS r2, row_number() OVER (ORDER BY month) AS position FROM mean WHERE model = 1 AND month > '1995-03') SELECT position, m1, round(r1, 6) AS r1, m2, round(r2, 6) AS r2 FROM a FULL JOIN b USING (position)")
@@ -335,10 +335,10 @@ def positional(s: SparkSession, d: str) -> DataFrame:
     return rounded(both.select(F.col("position").cast("bigint").alias("position"), "m1", "r1", "m2", "r2"))
 
 
-@BOOK.add("join3_benchmark", f"WITH {MEAN}, bench AS (SELECT month, avg(ret) AS equal_weight FROM mret WHERE ret IS NOT NULL GROUP BY 1) SELECT model, month, round(roi, 6) AS roi, round(equal_weight, 6) AS equal_weight FROM mean LEFT JOIN bench USING (month)")
+@BOOK.add("join3_benchmark", f"WITH {MEAN}, bench AS (SELECT month, avg(ret) AS equal_weight, max(ret) FILTER (ticker = '{TICKERS[0]}') AS index_return FROM mret WHERE ret IS NOT NULL GROUP BY 1) SELECT model, month, round(roi, 6) AS roi, round(equal_weight, 6) AS equal_weight, round(index_return, 6) AS index_return FROM mean LEFT JOIN bench USING (month)")
 def benchmark(s: SparkSession, d: str) -> DataFrame:
-    bench = month_rets(s, d).where("ret is not null").groupBy("month").agg(F.avg("ret").alias("equal_weight"))
-    return rounded(mean_roi(s, d).join(bench, "month", "left").select("model", "month", "roi", "equal_weight"))
+    bench = month_rets(s, d).where("ret is not null").groupBy("month").agg(F.avg("ret").alias("equal_weight"), F.max(F.when(F.col("ticker") == TICKERS[0], F.col("ret"))).alias("index_return"))
+    return rounded(mean_roi(s, d).join(bench, "month", "left").select("model", "month", "roi", "equal_weight", "index_return"))
 
 
 @BOOK.add("agg25_mean_weights", f"WITH {SUMW} SELECT model, ticker, round(avg(weight), 6) AS weight FROM w GROUP BY 1, 2")

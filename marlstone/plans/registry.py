@@ -54,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     out = {
         "p4_found": f"WITH {KEYED} SELECT delivery_id FROM n WHERE k > 1 AND m IS NOT NULL",
+        "p4_once": f"WITH {KEYED} SELECT * FROM news_item WHERE delivery_id NOT IN (SELECT delivery_id FROM n WHERE k > 1 AND m IS NOT NULL)",
         "p6_found": f"WITH {USABLE} SELECT ticker, venue, strftime(day, '%Y-%m-%d') AS day FROM g WHERE isodow(day) < 6 AND (ticker, venue, day) NOT IN (SELECT ticker, venue, day FROM u)",
     }
     for book in BOOKS:

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,10 +42,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a fresh local folder only where the session names none."""
+    """The folder all executors share, from spark.checkpoint.dir; a fresh local folder in a local session that names none.
+
+    A cluster's session that names none is an error, as executors share no local folder.
+    """
     sc = spark.sparkContext
     named = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="marlstone-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
@@ -65,23 +68,3 @@ def settle(df: DataFrame, what: str = "settled") -> DataFrame:
     path = shared_path(spark, what)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets go of shuffle files that nothing refers to any more; otherwise they stay until the driver collects its garbage."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
-
-
-def tokenizer_file(name: str, path: str | None = None) -> str:
-    """Place of a public vocabulary file: the given path, else the installed package's folder."""
-    if path:
-        return path
-    try:
-        import public_tokenizers
-
-        return public_tokenizers.path(name)
-    except ImportError:
-        return os.path.join("/opt/tokenizers", name)
