@@ -44,7 +44,7 @@ FAR = np.int16(32767)
 WIDEST = 2
 WORD = re.compile(r"\w+")
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
-MASK40, MASK32 = np.uint64((1 << 40) - 1), np.uint64((1 << 32) - 1)
+MASK40 = np.uint64((1 << 40) - 1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -114,6 +114,19 @@ def unpack40(b: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def pack28(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lowest 28 bits: three bytes each, and four bits of two in a byte. Within a bucket so many tell nearly all apart."""
+    low = np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :3].ravel()
+    four = np.r_[(x >> np.uint64(24) & np.uint64(15)).astype(np.uint8), np.zeros(len(x) % 2, np.uint8)]
+    return low, four[::2] | four[1::2] << 4
+
+
+def unpack28(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    b = low.reshape(-1, 3).astype(np.uint32)
+    four = np.stack([high & 15, high >> 4], axis=1).ravel()[: len(b)].astype(np.uint32)
+    return b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16 | four << 24
+
+
 def _sets(recs: DataFrame, run: int, least_words: int) -> DataFrame:
     """kind 0: (tbl, id, seq) of every record long enough; kind 1: (tbl, seq, runs), once a task for equal word sequences."""
     names = ["kind", "tbl", "id", "seq", "runs"]
@@ -231,7 +244,7 @@ def _signatures(sets: DataFrame, costs: tuple[np.ndarray, np.ndarray], threshold
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Rows(costs, threshold)
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=3)
 
         def flush(held: list) -> Iterator[pa.RecordBatch]:
             size = np.array([len(r) // 5 for _, _, r in held], np.int64)
@@ -281,7 +294,7 @@ def _signatures(sets: DataFrame, costs: tuple[np.ndarray, np.ndarray], threshold
                     narrow = wide[own]
                     # sketches of each width apart
                     kinds = [bits[own[narrow == w], : 1 << 2 * w].ravel() for w in range(int(narrow.max()) + 1)]
-                    columns = [(sig[a:b] & MASK32).astype(np.uint32), fit(local), fit(p1[a:b]), fit(p2[a:b]), kind[a:b], fit(rares[a:b])]
+                    columns = [*pack28(sig[a:b]), fit(local), fit(p1[a:b]), fit(p2[a:b]), kind[a:b], fit(rares[a:b])]
                     out.append((k, press.compress(freeze([*columns, seq[own], fit(size[own]), fit(capacity[own]), narrow.astype(np.uint8), *kinds]))))
             short = np.unique(np.concatenate([p[5] for p in parts]))
             if len(short):
@@ -331,7 +344,8 @@ def meet(packs: list[bytes], threshold: Fraction) -> Iterator[tuple[np.ndarray,
     press = zstandard.ZstdDecompressor()
     parts, tables, n, m = [], [], 0, 0
     for p in packs:
-        sig, rec, p1, p2, kind, rares, seq, size, capacity, narrow, *kinds = thaw(press.decompress(p))
+        low, high, rec, p1, p2, kind, rares, seq, size, capacity, narrow, *kinds = thaw(press.decompress(p))
+        sig = unpack28(low, high)
         # the words of all sketches in one array, and where each begins
         flat, begin_at = np.concatenate(kinds), np.zeros(len(seq), np.int64)
         for w, at in enumerate(np.cumsum([0, *map(len, kinds)])[:-1]):
@@ -394,7 +408,7 @@ def meet(packs: list[bytes], threshold: Fraction) -> Iterator[tuple[np.ndarray,
         yield seq[r][ok], seq[s][ok], met[ok].astype(np.int64), (reach - h)[ok]
 
 
-def _candidates(signatures: DataFrame, threshold: Fraction) -> DataFrame:
+def _candidates(signatures: DataFrame, threshold: Fraction, buckets: int) -> DataFrame:
     """(a, b): pairs that met as many units as they have to; a = b names a set with too few units."""
 
     def gather(bucket: int, packs: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -456,8 +470,9 @@ def _candidates(signatures: DataFrame, threshold: Fraction) -> DataFrame:
         ok = first[np.diff(np.r_[first, len(a)]) >= need[first]]
         return pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
 
-    met = signatures.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a bigint, need int, bs array<bigint>")
-    return met.repartition("a").sortWithinPartitions("a").mapInArrow(count, "a bigint, b bigint")
+    # a partition a bucket: what a task reads doesn't grow with the input
+    met = signatures.repartitionById(buckets, F.pmod("bucket", F.lit(buckets))).sortWithinPartitions("bucket").mapInArrow(run, "a bigint, need int, bs array<bigint>")
+    return met.repartition(buckets, "a").sortWithinPartitions("a").mapInArrow(count, "a bigint, b bigint")
 
 
 def _costs(sets: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
@@ -482,7 +497,7 @@ def similar_sets(recs: DataFrame, run: int = RUN, threshold: float = THRESHOLD,
     total = sets.agg(F.sum(F.length("runs"))).first()[0] or 0
     costs = _costs(sets, total)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
-    candidates = settle(_candidates(_signatures(sets, costs, t, buckets), t), "candidates")
+    candidates = settle(_candidates(_signatures(sets, costs, t, buckets), t, buckets), "candidates")
     wanted = candidates.where("a <> b").select("a", "b")
     # only the sets of candidates travel from here on
     needed = sets.where(one_of(wanted.select(F.explode(F.array("a", "b")).alias("seq")))("seq")).repartition("seq").groupBy("tbl", "seq").agg(F.first("runs").alias("runs"))
