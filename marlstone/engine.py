@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql.functions import udtf
 
 from marlstone.operators import corpus
 from marlstone.session import TABLES
 
 
+@udtf(returnType="url string")
+class TextLinks:
+    """SQL table function text_links(text): the http addresses of a text, one a row."""
+
+    def eval(self, text: str):
+        for url in re.findall(r"https?://\S+", text or ""):
+            yield (url,)
+
+
 class Engine:
     """SQL over a directory's tables, and functions registered by name.
 
@@ -20,6 +31,7 @@ class Engine:
         self.spark, self.dir = spark, sf_dir
         self.scorers: dict[str, Callable[[Column], tuple[Column, Column]]] = {"lexicon": corpus.lexicon_label}
         self.policies: dict[str, Callable] = {}
+        spark.udtf.register("text_links", TextLinks)
 
     def views(self, *names: str) -> None:
         for n in names or TABLES:

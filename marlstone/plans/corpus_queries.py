@@ -9,7 +9,7 @@ from marlstone.functions import html, web
 from marlstone.functions import text as T
 from marlstone.operators import corpus, portfolio
 from marlstone.plans.kit import Book, num, rounded
-from marlstone.session import table
+from marlstone.session import spread, table
 
 BOOK = Book()
 WS = T.WS
@@ -117,7 +117,7 @@ cl AS (SELECT id, file_name, t FROM c3 WHERE len({WORDS}) >= 5 AND length(regexp
 
 
 def cleaned(s: SparkSession, d: str, unicode_form: bool = False) -> DataFrame:
-    return corpus.clean_posts(posts(s, d).withColumnRenamed("t", "text").dropDuplicates(["id"]), unicode_form=unicode_form, prefix="").select("id", "file_name", F.col("text").alias("t"))
+    return corpus.clean_posts(spread(posts(s, d)).withColumnRenamed("t", "text").dropDuplicates(["id"]), unicode_form=unicode_form, prefix="").select("id", "file_name", F.col("text").alias("t"))
 
 
 @BOOK.add("flt4_set2_clean_posts", "WITH " + CLEAN.replace("FROM social_post", "FROM (SELECT DISTINCT ON (id) * FROM social_post)") + " SELECT id, file_name, t FROM cl")
@@ -140,7 +140,7 @@ MEASURES = ("char_mean", "char_median", "word_mean", "word_median", "english_rat
 
 @BOOK.add("agg15_16_statistics", f"WITH {POSTS}, st AS ({stats_sql('p')}) SELECT file_name, n, positive_keywords, negative_keywords, number_count, " + ", ".join(f"round({m}, 6) AS {m}" for m in MEASURES) + " FROM st")
 def statistics(s: SparkSession, d: str) -> DataFrame:
-    return rounded(corpus.statistics(posts(s, d), text="t"))
+    return rounded(corpus.statistics(spread(posts(s, d)), text="t"))
 
 
 COUNTED = ("n", "positive_keywords", "negative_keywords", "number_count")
@@ -148,7 +148,7 @@ UNREPEATED = "WITH " + CLEAN.replace("FROM social_post", "FROM (SELECT DISTINCT
 
 
 def posts_and_cleaned(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    p = posts(s, d).dropDuplicates(["id"]).withColumnRenamed("t", "text")
+    p = spread(posts(s, d)).dropDuplicates(["id"]).withColumnRenamed("t", "text")
     return p, corpus.clean_posts(p, unicode_form=False, prefix="")
 
 
@@ -180,7 +180,8 @@ GROUPS = ["BEBY", "CAMA", "DAMO", "TIVU", "VYRI", "XACO"]
 
 def labelled(s: SparkSession, d: str) -> DataFrame:
     label, score = corpus.lexicon_label(F.col("text"))
-    return table(s, d, "social_post").select("id", F.col("year").cast("int").alias("year"), F.col("month").cast("int").alias("month"), F.upper(F.trim("asset")).alias("grp"), label.alias("label"), score.alias("score"))
+    rows = spread(table(s, d, "social_post").select("id", "year", "month", "asset", "text"))
+    return rows.select("id", F.col("year").cast("int").alias("year"), F.col("month").cast("int").alias("month"), F.upper(F.trim("asset")).alias("grp"), label.alias("label"), score.alias("score"))
 
 
 @BOOK.add("ml1_lexicon_labels", f"WITH {LABELS} SELECT id, label, round(score, 6) AS score FROM lab")

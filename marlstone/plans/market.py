@@ -137,6 +137,19 @@ def observations(s: SparkSession, d: str) -> DataFrame:
     return panel.observations(dense(s, d))
 
 
+@BOOK.add("prj8_upper_triangle", f"WITH {RETS}{CORRS} SELECT month, 'corr_' || t1 || '_' || t2 AS label, round(coalesce(corr, 0), 6) AS value FROM corrs")
+def upper_triangle(s: SparkSession, d: str) -> DataFrame:
+    o = panel.observations(dense(s, d)).select("month", F.explode(F.arrays_zip("labels", "values")).alias("x"))
+    pairs = panel.correlations(dense(s, d)).select("month", F.concat_ws("_", F.lit("corr"), "t1", "t2").alias("label"), F.coalesce("corr", F.lit(0.0)).alias("value"))
+    # the vector holds single precision; its labels decide which pairs there are
+    return rounded(o.select("month", F.col("x.labels").alias("label")).where("label like 'corr%'").join(pairs, ["month", "label"]))
+
+
+@BOOK.add("prj9_values_only", f"WITH {FEATS}{CORRS}, f AS (SELECT month, count(*) * 7 AS n FROM feats GROUP BY 1), c AS (SELECT month, count(*) AS n FROM corrs GROUP BY 1) SELECT month, CAST(f.n + coalesce(c.n, 0) AS BIGINT) AS length FROM f LEFT JOIN c USING (month)")
+def values_only(s: SparkSession, d: str) -> DataFrame:
+    return panel.observations(dense(s, d)).select("month", num(F.size("values")).alias("length"))
+
+
 @BOOK.add("prj7_feature_labels", f"WITH {FEATS} SELECT month, ticker || '_' || feature AS label, CAST(coalesce(value, 0) AS FLOAT) AS value FROM (UNPIVOT (SELECT month, ticker, coalesce(month_first_close, 0) AS month_first_close, coalesce(month_last_close, 0) AS month_last_close, coalesce(volatility, 0) AS volatility, coalesce(sharpe_ratio, 0) AS sharpe_ratio, coalesce(sortino_ratio, 0) AS sortino_ratio, coalesce(mdd, 0) AS mdd, coalesce(calmar_ratio, 0) AS calmar_ratio FROM feats) ON month_first_close, month_last_close, volatility, sharpe_ratio, sortino_ratio, mdd, calmar_ratio INTO NAME feature VALUE value)")
 def feature_labels(s: SparkSession, d: str) -> DataFrame:
     f = panel.monthly_features(dense(s, d))
@@ -398,6 +411,12 @@ def month_range(s: SparkSession, d: str) -> DataFrame:
     return m.where(F.last_day("m") <= F.lit("2001-11-01").cast("date")).select(F.date_format("m", "yyyy-MM").alias("month"), F.col("m").alias("month_start"), F.last_day("m").alias("month_end"))
 
 
+@BOOK.add("flt9_complete_runs", f"WITH {ROI}, n AS (SELECT model, seed, count(*) AS months FROM roi GROUP BY 1, 2) SELECT model, seed, months FROM n WHERE months = (SELECT max(months) FROM n)")
+def complete_runs(s: SparkSession, d: str) -> DataFrame:
+    n = roi(s, d).groupBy("model", "seed").agg(F.count("*").alias("months"))
+    return n.join(F.broadcast(n.agg(F.max("months").alias("months"))), "months", "left_semi")
+
+
 @BOOK.add("flt9_complete_dates", f"WITH {PX} SELECT date, count(*) AS n FROM px GROUP BY 1 HAVING count(*) = 6")
 def complete_dates(s: SparkSession, d: str) -> DataFrame:
     return prices(s, d).groupBy("date").agg(F.count("*").alias("n")).where("n = 6")

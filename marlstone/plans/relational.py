@@ -81,9 +81,11 @@ def rollup(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd")).rollup("event_type", "day").agg(F.count("*").alias("n"))
 
 
-@BOOK.add("agg32_approx_distinct", None)
+@BOOK.add("agg32_approx_distinct", "SELECT count(DISTINCT l_partkey) AS exact_parts, true AS near FROM lineitem")
 def approx(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "lineitem").agg(F.approx_count_distinct("l_partkey").alias("parts"))
+    """The sketch's estimate, three times its standard error from the exact number at most."""
+    n = table(s, d, "lineitem").agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts"), F.countDistinct("l_partkey").alias("exact_parts"))
+    return n.select("exact_parts", (F.abs(F.col("parts") / F.col("exact_parts") - 1) <= 0.06).alias("near"))
 
 
 @BOOK.add("win20_ranks", "SELECT c_custkey, rank() OVER w AS r, dense_rank() OVER w AS dr, ntile(4) OVER w AS q, round(percent_rank() OVER w, 6) AS pr, nth_value(c_custkey, 2) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey)")
@@ -98,7 +100,7 @@ def parse_json(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@BOOK.add("json2_emit", None)
+@BOOK.add("json2_emit", "SELECT CAST(to_json(struct_pack(n_nationkey := n_nationkey, n_name := n_name)) AS VARCHAR) AS json FROM nation")
 def emit_json(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "nation").select(F.to_json(F.struct("n_nationkey", "n_name")).alias("json"))
 
@@ -115,9 +117,10 @@ def vectors(s: SparkSession, d: str) -> DataFrame:
     return rounded(table(s, d, "embeddings").select("vec_id", num(F.size("embedding")).alias("n"), F.element_at("embedding", 1).cast("double").alias("first_value"), F.aggregate(v, F.lit(0.0), lambda a, b: a + b).alias("head_sum")))
 
 
-@BOOK.add("flt10_hash_sample", None)
+@BOOK.add("flt10_hash_sample", "SELECT doc_id FROM documents ORDER BY md5(CAST(doc_id AS VARCHAR) || '-42'), doc_id LIMIT 100")
 def sample(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").orderBy(F.xxhash64("doc_id", F.lit(42)), "doc_id").select("doc_id").limit(100)
+    """The limit is the feature: a sample of 100 by seed."""
+    return table(s, d, "documents").orderBy(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("-42"))), "doc_id").select("doc_id").limit(100)
 
 
 @BOOK.add("math1_scalar", "SELECT l_orderkey, l_linenumber, l_partkey, round(ln(l_extendedprice), 6) AS a, round(exp(l_discount), 6) AS b, round(pow(1 + l_tax, 12), 6) AS c, round(sqrt(l_quantity), 6) AS d FROM lineitem")
@@ -222,3 +225,20 @@ def split_fetch(s: SparkSession, d: str) -> DataFrame:
 def variant_links(s: SparkSession, d: str) -> DataFrame:
     p = table(s, d, "social_post").select("id", F.regexp_extract("file_name", "^([^_]+)_", 1).alias("ticker"))
     return p.join(F.broadcast(table(s, d, "asset_dim").select("ticker", "asset_name")), "ticker").groupBy("asset_name").agg(F.countDistinct("id").alias("posts"))
+
+
+@BOOK.add("udtf_post_links", rf"SELECT DISTINCT id, unnest(regexp_extract_all(text, 'https?://[^{T.WS}]+')) AS url FROM social_post WHERE text IS NOT NULL")
+def link_function(s: SparkSession, d: str) -> DataFrame:
+    return Engine(s, d).query("SELECT DISTINCT id, url FROM social_post, LATERAL text_links(text) WHERE text IS NOT NULL")
+
+
+@BOOK.add("prj4_identity_columns", "SELECT doc_id, 'documents' AS origin, 1 AS version FROM documents")
+def identity(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select("doc_id", F.lit("documents").alias("origin"), F.lit(1).alias("version"))
+
+
+@BOOK.add("sort1_by_date", "SELECT ticker, venue, strftime(date, '%Y-%m-%d %H:%M:%S.%f') AS at, row_number() OVER (PARTITION BY ticker, venue ORDER BY date, received_at, close NULLS FIRST, volume NULLS FIRST) AS place FROM stock_closing_prices")
+def by_date(s: SparkSession, d: str) -> DataFrame:
+    p = table(s, d, "stock_closing_prices")
+    place = F.row_number().over(Window.partitionBy("ticker", "venue").orderBy("date", "received_at", F.asc_nulls_first("close"), F.asc_nulls_first("volume")))
+    return p.select("ticker", "venue", F.date_format("date", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), num(place).alias("place"))

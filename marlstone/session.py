@@ -41,6 +41,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where their scan has fewer tasks than there are cores; on tables of many files they stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(2 * cores)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir; a fresh local folder in a local session that names none.
 
