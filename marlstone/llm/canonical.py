@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.bloom import one_of
 from marlstone.llm.pairing import pairs_within
-from marlstone.session import settle
+from marlstone.session import settle, spread
 
 # Letters of other scripts that look like a Latin one, in pairs.
 LOOK_ALIKES = (
@@ -115,7 +115,7 @@ def records(*tables: tuple[str, DataFrame, str, str]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)
-    return out.where(F.col("text").rlike(r"(?U)[^\s\x{00A0}\x{200B}\x{FEFF}]") & F.col("id").isNotNull())
+    return spread(out.where(F.col("text").rlike(r"(?U)[^\s\x{00A0}\x{200B}\x{FEFF}]") & F.col("id").isNotNull()))
 
 
 def same_look_pairs(recs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import canonical, language, neardup, packing, quality, spans, tokens, truncation
-from marlstone.session import table
+from marlstone.session import spread, table
 
 NEAR_RUN, NEAR_THRESHOLD = 3, 0.5  # as this project's data state the problem
 
@@ -64,15 +64,15 @@ def _filters(spark: SparkSession, d: str) -> language.Filters:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return language.mislabelled(table(spark, d, "documents"), _filters(spark, d))
+    return language.mislabelled(spread(table(spark, d, "documents").select("doc_id", "text", "lang")), _filters(spark, d))
 
 
 def p5_languages(spark: SparkSession, d: str) -> DataFrame:
-    return language.document_languages(table(spark, d, "documents"), _filters(spark, d))
+    return language.document_languages(spread(table(spark, d, "documents").select("doc_id", "text", "lang")), _filters(spark, d))
 
 
 def p5_segments(spark: SparkSession, d: str) -> DataFrame:
-    return language.segments(table(spark, d, "documents"), _filters(spark, d))
+    return language.segments(spread(table(spark, d, "documents").select("doc_id", "text", "lang")), _filters(spark, d))
 
 
 def near_records(spark: SparkSession, d: str) -> DataFrame:
@@ -89,11 +89,11 @@ def p7_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.encode(table(spark, d, "documents"), "doc_id", "text")
+    return tokens.encode(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def p9_containers(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack_texts(table(spark, d, "documents"), table(spark, d, "pack_capacity"))
+    return packing.pack_texts(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "pack_capacity"))
 
 
 def p9_fill(spark: SparkSession, d: str) -> DataFrame:
@@ -101,12 +101,12 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return spans.shared_pairs(table(spark, d, "documents"))
+    return spans.shared_pairs(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
 def p10_shared(spark: SparkSession, d: str) -> DataFrame:
     """Spans as begin-end, the end not included, in their order."""
-    part = spans.shared_part(table(spark, d, "documents"))
+    part = spans.shared_part(spread(table(spark, d, "documents").select("doc_id", "text")))
     told = F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["begins"], x["ends"])), ",")
     return part.withColumn("spans", told).withColumn("shared_share", F.round("shared_share", 6))
 
