@@ -149,3 +149,25 @@ def test_streams_go_on_where_they_ended(spark, tmp_path):
     assert months() == {"2024-01": (3, 0.0)}
     post((5, "gain", at(2)), (6, "flat", dt.datetime(2024, 2, 1)))
     assert months() == {"2024-01": (4, 1 / 3), "2024-02": (1, None)}
+
+
+def test_filled_values_are_near_held_out_ones(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from marlstone.session import table
+
+    prices = table(spark, "/root/testdata/sf0.01", "stock_closing_prices")
+    keys = ["ticker", "venue"]
+    days = grid.daily(prices, keys, "date", "close", "received_at")
+    ends = Window.partitionBy(*keys)
+    inner = days.withColumn("a", F.min("day").over(ends)).withColumn("b", F.max("day").over(ends)).where("day > a and day < b and weekday(day) < 5")
+    hidden = inner.where(F.pmod(F.xxhash64("ticker", "venue", "day"), F.lit(10)) == 0).select(*keys, "day", F.col("value").alias("truth"))
+    left = days.join(hidden, [*keys, "day"], "left_anti").select(*keys, F.col("day").cast("timestamp").alias("date"), F.col("value").alias("close"), F.col("day").cast("timestamp").alias("received_at"))
+    before = left.select(*keys, F.to_date("date").alias("day"), "close").unionByName(hidden.select(*keys, "day", F.lit(None).cast("double").alias("close")))
+    carried = before.withColumn("carried", F.last("close", True).over(Window.partitionBy(*keys).orderBy("day"))).where("close is null").select(*keys, "day", "carried")
+    both = grid.weekday_grid(left, keys, "date", "close", "received_at").join(hidden, [*keys, "day"]).join(carried, [*keys, "day"])
+    off = lambda c: F.median(F.abs(F.ln(F.col(c) / F.col("truth")))).alias(c)
+    r = both.where("filled").agg(off("value"), off("carried"), F.count("*").alias("n")).first()
+    print(r)
+    assert r.n > 300 and r.value < r.carried and r.value < 0.05
