@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.bloom import one_of
-from marlstone.llm.pairing import pairs_within
+from marlstone.llm.pairing import parts, split_pairs
 from marlstone.session import settle, spread
 
 # Letters of other scripts that look like a Latin one, in pairs.
@@ -127,9 +127,9 @@ def same_look_pairs(recs: DataFrame) -> DataFrame:
     """
     looks = _looks(recs.where(F.col("text").isNotNull() & F.col("id").isNotNull()))
     looks = settle(looks)
-    mixed = looks.groupBy("tbl", "look").agg(F.min("form").alias("a"), F.max("form").alias("b")).where("a <> b").select("tbl", "look")
+    mixed = looks.groupBy("tbl", "look").agg(F.min("form").alias("a"), F.max("form").alias("b"), F.count("*").alias("n")).where("a <> b").select("tbl", "look", parts(F.col("n")).alias("_parts"))
     members = looks.join(mixed, ["tbl", "look"]).distinct()
-    return pairs_within(members, ["tbl", "look"], "id", "id_1", "id_2", lambda a, b: a["form"] != b["form"]).select("tbl", "id_1", "id_2").distinct()
+    return split_pairs(members, ["tbl", "look"], "id", "id_1", "id_2", lambda a, b: a["form"] != b["form"]).select("tbl", "id_1", "id_2").distinct()
 
 
 def spelling_groups(recs: DataFrame) -> DataFrame:

@@ -41,26 +41,44 @@ BROKEN = re.compile(r"(?:&(?:#\w{0,6}|[a-zA-Z]{1,8})|</?[a-zA-Z][^<>]{0,60}|<)$"
 CLOSING = re.compile(r"(?:<\|\w+\|>|(?:https?://|www\.)\S+|[$#@]\w+|[(\[][^()\[\]%\n]{1,60}[)\]]|(?:—|–|--)[^.!?。！？\n]{1,60}|\b(?:full story|source|via|contact|more at|related)\s*:[^.!?。\n]{1,60})\s*$", re.IGNORECASE)
 ENDED = re.compile(r"[.!?。！？]+[\"'”»)\]」』）]*$|[\"”»」』]$")
 PICTURES = re.compile(r"[\s←-⯿\U0001f000-\U0001faff‍️]+$")
+APPENDED = re.compile(r"(?:(?:https?://|www\.)\S+|[$#@]\w+)\s*$")
+LAST = re.compile(r"(\S*?)(\w+)$")
 BULLET = re.compile(r"^\s*(?:[-*•·▪]|\d+[.)]|[a-z][.)])\s")
 
 
+def near_end(text: str) -> int:
+    """A place from which on all that stands at the end of the text begins: links reach back to a blank, all else less than 160 signs."""
+    k = len(text.rstrip("\"'”"))
+    return max(0, min(k - 160, max(text.rfind(" ", 0, k), text.rfind("\n", 0, k))))
+
+
+def ended(text: str) -> bool:
+    """Whether a sentence end or a closing quote stands at the end."""
+    return ENDED.search(text, max(len(text.rstrip("\"'”»)\\]」』）")) - 1, 0)) is not None
+
+
 def strip_end(text: str) -> tuple[str, bool, bool]:
     """(the text without what was put behind it, a mark of a cut was there, it stood right behind the text)."""
     text, marked, close = text.rstrip(), False, False
     for _ in range(12):
-        if m := MARK.search(text):
+        start = near_end(text)
+        if m := MARK.search(text, start):
             rest = text[: m.start()]
             marked, close = True, rest[-1:].strip() != ""
             text = rest.rstrip()
-        elif (m := BROKEN.search(text)) and m.start() > 0:
+        elif (m := BROKEN.search(text, start)) and m.start() > 0:
             text, marked = text[: m.start()].rstrip(), True
-        elif (m := CLOSING.search(text)) and m.start() > 0:
+        elif (m := CLOSING.search(text, start)) and m.start() > 0:
             text = text[: m.start()].rstrip()
         else:
             break
     return text, marked, close
 
 
+def without_pictures(text: str) -> str:
+    return PICTURES.sub("", text) if PICTURES.match(text[-1:]) else text
+
+
 def last_fragment(text: str) -> tuple[str, str]:
     """(last line, what stands behind the last sentence end in it)."""
     line = text[text.rfind("\n") + 1 :]
@@ -77,13 +95,13 @@ def ending(text: str, in_word: bool, known: frozenset[str]) -> tuple[str, str, s
         if text.rstrip().endswith("�"):
             return "cut", "", "", len(text.rstrip())
         body = text.rstrip()
-        m = MARK.search(body)
-        body = body[: m.start()].rstrip() if m else PICTURES.sub("", body)
+        m = MARK.search(body, near_end(body))
+        body = body[: m.start()].rstrip() if m else without_pictures(body)
         for _ in range(12):
-            if m or not (c := re.search(r"(?:(?:https?://|www\.)\S+|[$#@]\w+)\s*$", body)):
+            if m or not (c := APPENDED.search(body, near_end(body))):
                 break
-            body = PICTURES.sub("", body[: c.start()].rstrip())
-        last = re.search(r"(\S*?)(\w+)$", body)
+            body = without_pictures(body[: c.start()].rstrip())
+        last = LAST.search(body, max(body.rfind(" "), body.rfind("\n")) + 1)
         if last is None or not last.group(2)[-1].isalpha() or last.group(1).startswith(("$", "#", "@", "http")):
             return "whole", "", "", len(body)
         return "word", last.group(2).lower(), "", len(body)
@@ -91,7 +109,7 @@ def ending(text: str, in_word: bool, known: frozenset[str]) -> tuple[str, str, s
     size = len(body)
     if body.endswith("�") and _prose(text, known):
         return "cut", "", "", size
-    if not body or ENDED.search(body):
+    if not body or ended(body):
         return "whole", "", "", size
     line, fragment = last_fragment(body)
     if not fragment or not _prose(text, known):
