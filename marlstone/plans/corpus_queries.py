@@ -312,11 +312,11 @@ def safe_names(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "news_item").select("delivery_id", T.safe_name(symbol).alias("name"), F.array_join(T.symbol_list(symbol), ",").alias("symbols"))
 
 
-@BOOK.add("str24_formatting", "SELECT asset, printf('%.2f%%', CAST(char_length_before_mean AS DOUBLE)) AS share, printf('%.4f', CAST(word_length_before_mean AS DOUBLE)) AS fixed FROM cleaning_stats WHERE isfinite(char_length_before_mean) AND isfinite(word_length_before_mean)")
+@BOOK.add("str24_formatting", "SELECT asset, printf('%.6f%%', CAST(char_length_before_mean AS DOUBLE)) AS share, printf('%.8f', CAST(word_length_before_mean AS DOUBLE)) AS fixed FROM cleaning_stats WHERE isfinite(char_length_before_mean) AND isfinite(word_length_before_mean)")
 def formatting(s: SparkSession, d: str) -> DataFrame:
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     c = table(s, d, "cleaning_stats").where(finite("char_length_before_mean") & finite("word_length_before_mean"))
-    return c.select("asset", F.format_string("%.2f%%", "char_length_before_mean").alias("share"), F.format_string("%.4f", "word_length_before_mean").alias("fixed"))
+    return c.select("asset", F.format_string("%.6f%%", "char_length_before_mean").alias("share"), F.format_string("%.8f", "word_length_before_mean").alias("fixed"))
 
 
 @BOOK.add("src21_join7_unseen", "SELECT delivery_id FROM news_item WHERE batch_id >= 2018010100 AND title NOT IN (SELECT title FROM news_item WHERE batch_id < 2018010100 AND title IS NOT NULL) AND title IS NOT NULL")
