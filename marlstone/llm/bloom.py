@@ -39,9 +39,9 @@ def one_of(keys: DataFrame) -> Callable[[str], Column]:
         used = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(words[used])], names=["k", "word"])
 
-    rows = keys.where(F.col(name).isNotNull()).mapInArrow(mark, "k bigint, word bigint").groupBy("k").agg(F.bit_or("word").alias("word")).toPandas()
+    rows = keys.where(F.col(name).isNotNull()).mapInArrow(mark, "k bigint, word bigint").groupBy("k").agg(F.bit_or("word").alias("word")).toArrow()
     words = np.zeros((1 << log2) // 64, np.int64)
-    words[rows["k"].to_numpy(np.int64)] = rows["word"].to_numpy(np.int64)
+    words[rows.column("k").to_numpy()] = rows.column("word").to_numpy()
 
     @pandas_udf(BooleanType())
     def within(x: pd.Series) -> pd.Series:

@@ -9,12 +9,14 @@ would be met there, so that frequent runs are probed in no or in large segments
 
 With SLACK units beyond H + 1 a similar pair meets at least SLACK + 1 times, which few strangers do (fewer if a set has fewer
 units to give). Pairs that do are
-verified on the sets themselves. Only packed arrays travel: per task and bucket one row.
+verified on the sets themselves. Only packed arrays travel. A bucket is of one table and band, so that a set is in few of them, and
+gets what is told of a set (code, size, sketch) once; its signatures follow in slots that are met one after the other.
 """
 
 from __future__ import annotations
 
 import re
+import tempfile
 from collections.abc import Callable, Iterator
 from fractions import Fraction
 
@@ -35,16 +37,20 @@ SLACK = 2
 BAND, LOAD = 16, 1.2
 #: Costs are estimated from the run counts of sets chosen by hash, of about so many bytes together; every set is indexed.
 SAMPLE_BYTES = 24 << 20
-#: A bucket of signatures is of sets of about so many bytes of runs; its task holds one bucket at a time.
-BUCKET_BYTES = 16 << 20
+#: A bucket has the signatures of about so many bytes of runs, fewer where there would be fewer buckets than BUCKETS_A_CORE a core.
+#: Its task holds what is told of its sets, and the signatures of one slot of about SLOT_BYTES at a time.
+BUCKET_BYTES, SLOT_BYTES, BUCKETS_A_CORE = 96 << 20, 4 << 20, 2
+#: Sketches of a bucket that take more bytes are in a file of the task.
+HELD_BYTES = 32 << 20
 #: Sets with too few units are compared with all sets in blocks of at most so many sets and bytes.
 BLOCK_SETS, BLOCK_BYTES = 5000, 32 << 20
 FAR = np.int16(32767)
-#: A sketch has 64 * 4 ** band bits, at most 64 * 4 ** 2.
-WIDEST = 2
+#: A sketch has SKETCH bits a run at least: 64 * 2 ** width bits.
+SKETCH = 2
 WORD = re.compile(r"\w+")
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
-MASK40 = np.uint64((1 << 40) - 1)
+CODE = (1 << 40) - 1
+MASK40 = np.uint64(CODE)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -174,7 +180,7 @@ class Rows:
         whole, rarest = np.add.reduceat(log, first), np.minimum.reduceat(log, first)
         one = whole
         two = np.maximum(np.logaddexp(whole - rarest, whole), one)
-        of, frequent = owner[first], often[first]
+        of = owner[first]
         # units in the order of their cost; a second unit never comes before the first
         seconds = np.flatnonzero(many > 1)
         seg_of = np.concatenate([np.arange(len(first)), seconds])
@@ -187,15 +193,12 @@ class Rows:
         start = np.searchsorted(sorted_of, np.arange(len(size) + 1))
         place = np.arange(len(order)) - start[sorted_of]
         capacity = np.diff(start)
-        rare = np.r_[0, np.cumsum(~frequent[seg_of[order]])]
-        rare_before = rare[:-1] - rare[start[:-1]][sorted_of]
         limit = (BAND * 4 ** (band + 1)).astype(np.int64)  # the band's sizes end below
         h = self.most_unlike(size, np.minimum(size, limit - 1) if low else size)
         wanted = place < (h + 1 + SLACK)[sorted_of]
-        place1, place2, rare1 = np.full(len(first), FAR, np.int32), np.full(len(first), FAR, np.int32), np.zeros(len(first), np.int32)
+        place1, place2 = np.full(len(first), FAR, np.int32), np.full(len(first), FAR, np.int32)
         one_of, two_of = wanted & ~second[order], wanted & second[order]
         place1[seg_of[order[one_of]]], place2[seg_of[order[two_of]]] = place[one_of], place[two_of]
-        rare1[seg_of[order[one_of]]] = rare_before[one_of]
         token = mix(runs * M2)
         total = np.add.reduceat(token, first)
         name = mix((space[of].astype(np.uint64) * M1 + band[of].astype(np.uint64)) * M2 + seg[first].astype(np.uint64) * M3)
@@ -207,8 +210,6 @@ class Rows:
         rec = np.concatenate([of, of[inner[multi]]])
         p1 = np.concatenate([place1, np.full(len(sig_d), FAR, np.int32)])
         p2 = np.concatenate([place2, place2[inner[multi]]])
-        rares = np.concatenate([rare1, rare1[inner[multi]]])
-        rares = np.where((p1 == FAR) & (p2 == FAR), 0, rares // 2 * 2)
         # a place that every partner's H reaches needn't be told from the first
         least = np.ceil(size * float(self.t)).astype(np.int64)
         surely = np.minimum(self.most_unlike(size, least) + 1, capacity)[rec]
@@ -216,31 +217,67 @@ class Rows:
         kind = np.repeat(np.array([0, 1], np.uint8), [len(sig_s), len(sig_d)])
         if low:
             use = (p1 < FAR) | (p2 < FAR)
-            sig, rec, p1, p2, kind, rares = sig[use], rec[use], p1[use], p2[use], kind[use], rares[use]
-        return sig, rec, p1, p2, kind | np.uint8(0 if low else 2), np.flatnonzero(capacity <= h), capacity, rares
+            sig, rec, p1, p2, kind = sig[use], rec[use], p1[use], p2[use], kind[use]
+        return sig, rec, p1, p2, kind | np.uint8(0 if low else 2), np.flatnonzero(capacity <= h), capacity
 
 
-    def sketches(self, runs: np.ndarray, owner: np.ndarray, band: np.ndarray) -> np.ndarray:
-        """Parities of each set's frequent runs by hash, 64 * 4 ** band bits in 64-bit words, the rest zero.
+def sketches(runs: np.ndarray, owner: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, width of each set's sketch, its first word): parities of each set's runs by hash, 2 ** width words of 64 bits.
 
-        Two sets' frequent runs differ in at least as many runs as their parities in bits.
-        """
-        at = np.minimum(np.searchsorted(self.known, runs), len(self.known) - 1)
-        often = self.known[at] == runs
-        words = (1 << 2 * np.minimum(band, WIDEST)).astype(np.int64)
-        of = owner[often]
-        bit = (mix(runs[often] * M3) % (words[of] * 64).astype(np.uint64)).astype(np.int64)
-        out = np.zeros((len(band), int(words.max(initial=1))), np.uint64)
-        np.bitwise_xor.at(out, (of, bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
-        return out
+    Two sets differ in at least as many runs as their parities in bits. The halves of a sketch, put together by exclusive or, are
+    the sketch of half as many words.
+    """
+    width = np.maximum(np.ceil(np.log2(np.maximum(size, 1) * SKETCH / 64)), 0).astype(np.int64)
+    first = np.cumsum(1 << width) - (1 << width)
+    bit = (mix(runs * M3) & ((np.uint64(64) << width[owner].astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+    words = np.zeros(int((1 << width).sum()), np.uint64)
+    np.bitwise_xor.at(words, first[owner] + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    return words, width, first
+
+
+def words_of(words: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
+    """The 2 ** width words from each of the places in `first`, one row a place."""
+    return words[first[:, None] + np.arange(1 << width)]
+
+
+def apart(words: np.ndarray, x: np.ndarray, y: np.ndarray, wide_x: np.ndarray, wide_y: np.ndarray) -> np.ndarray:
+    """In how many runs at least the sets differ whose sketches begin at x and y."""
+    out = np.zeros(len(x), np.int64)
+    for key in np.unique(wide_x << 8 | wide_y).tolist():
+        v, w = key >> 8, key & 255
+        of, least = np.flatnonzero((wide_x == v) & (wide_y == w)), min(v, w)
+        step = max(1, (1 << 20) >> max(v, w))
+        for k in range(0, len(of), step):
+            part = of[k : k + step]
+            one, two = (np.bitwise_xor.reduce(words_of(words, at[part], n).reshape(len(part), -1, 1 << least), axis=1) for at, n in ((x, v), (y, w)))
+            out[part] = np.bitwise_count(one ^ two).sum(axis=1)
+    return out
 
 
 def bands(size: np.ndarray) -> np.ndarray:
     return np.maximum(np.floor(np.log2(np.maximum(size, 1) / BAND) / 2), 0).astype(np.int64)
 
 
-def _signatures(sets: DataFrame, costs: tuple[np.ndarray, np.ndarray], threshold: Fraction, buckets: int) -> DataFrame:
-    """(bucket, pack): the signature rows of each task, packed by bucket; bucket -1 names sets with too few units."""
+def _allotted(sets: DataFrame) -> tuple[dict[tuple[int, int], tuple[int, int]], int, int, int]:
+    """(first bucket and their number for each table and band, number of buckets, of slots, bytes of runs in all)."""
+    size = F.length("runs") / 5
+    band = F.greatest(F.floor(F.log2(F.greatest(size, F.lit(1)) / BAND) / 2), F.lit(0)).cast("int")
+    cells = sorted((table_code(r.tbl), r.band, r.n) for r in sets.groupBy("tbl", band.alias("band")).agg(F.sum(F.length("runs")).alias("n")).collect())
+    total = sum(n for _, _, n in cells)
+    most = max(min(BUCKET_BYTES, total // (BUCKETS_A_CORE * sets.sparkSession.sparkContext.defaultParallelism)), 1)
+    allotted, buckets, room = {}, 0, 0
+    for space, k, n in cells:
+        if n <= room:  # small ones share a bucket
+            allotted[space, k], room = (buckets - 1, 1), room - n
+        else:
+            many = -(-n // most)
+            allotted[space, k] = (buckets, many)
+            buckets, room = buckets + many, most - n if many == 1 else 0
+    return allotted, max(buckets, 1), -(-most // SLOT_BYTES), total
+
+
+def _signatures(sets: DataFrame, costs: tuple[np.ndarray, np.ndarray], threshold: Fraction, allotted: dict[tuple[int, int], tuple[int, int]], slots: int) -> DataFrame:
+    """(bucket, slot, pack): what is told of the sets in slot -1, their signature rows in the others; bucket -1 names sets with too few units."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Rows(costs, threshold)
@@ -253,6 +290,8 @@ def _signatures(sets: DataFrame, costs: tuple[np.ndarray, np.ndarray], threshold
             runs, owner = unpack40(b"".join(r for _, _, r in held)), np.repeat(np.arange(len(held)), size)
             band = bands(size)
             parts = [maker.make(runs, owner, size, space, band, False)]
+            words, width, first = sketches(runs, owner, size)
+            name = np.bitwise_xor.reduce(mix(seq.view(np.uint64) * M1 + mix(space.astype(np.uint64) * M2))).reshape(1)
             # smaller partners may be in the band below
             t = float(threshold)
             reach = np.flatnonzero((band > 0) & (np.ceil(size * t) < BAND * 4.0**band))
@@ -262,44 +301,40 @@ def _signatures(sets: DataFrame, costs: tuple[np.ndarray, np.ndarray], threshold
                 mine = index[owner] >= 0
                 got = maker.make(runs[mine], index[owner[mine]], size[reach], space[reach], band[reach] - 1, True)
                 # in the space below they are sets of their own, with their own units
-                parts.append((got[0], got[1] + len(held), *got[2:5], reach[got[5]], got[6], got[7]))
-                seq, size = np.r_[seq, seq[reach]], np.r_[size, size[reach]]
-            capacity = np.concatenate([p[6] for p in parts])
+                parts.append((got[0], got[1] + len(held), *got[2:5], reach[got[5]], got[6]))
+                seq, size, space, band, width, first = (np.r_[x, x[reach]] for x in (seq, size, space, band, width, first))
+                band[len(held) :] -= 1
+            # units beyond those that any partner's H reaches needn't be told from them
+            most = maker.most_unlike(size, size) + 1 + SLACK
+            lacking = most - np.minimum(np.concatenate([p[6] for p in parts]), most)
             sig, rec, p1, p2, kind = (np.concatenate([p[i] for p in parts]) for i in range(5))
-            rares = np.concatenate([p[7] for p in parts])
-            bits = maker.sketches(runs, owner, band)
-            wide = np.minimum(band, WIDEST)
-            if len(reach):
-                # below, sketches are as narrow as there: the words of all four quarters fall on the first
-                below, narrower = bits[reach].copy(), np.minimum(band[reach] - 1, WIDEST)
-                for w in np.unique(narrower[narrower < wide[reach]]).tolist():
-                    rows, part = np.flatnonzero((narrower == w) & (wide[reach] > w)), 1 << 2 * w
-                    below[rows, :part] ^= below[rows, part : 2 * part] ^ below[rows, 2 * part : 3 * part] ^ below[rows, 3 * part : 4 * part]
-                    below[rows, part:] = 0
-                bits, wide = np.concatenate([bits, below]), np.r_[wide, narrower]
-            bucket = (sig >> np.uint64(40)) % np.uint64(buckets)
+            cells, cell = np.unique(space << 8 | band, return_inverse=True)
+            begin, many = np.array([allotted.get((c >> 8, c & 255), (0, 1)) for c in cells.tolist()], np.int64).T
+            bucket = begin[cell][rec] + ((sig >> np.uint64(40)).astype(np.int64) % many[cell][rec])
+            slot = ((sig & np.uint64((1 << 28) - 1)) * np.uint64(slots) >> np.uint64(28)).astype(np.int64)
             # by set and place, which packs well; the signatures' own order is found where they meet
-            order = np.argsort(bucket << np.uint64(44) | rec.astype(np.uint64) << np.uint64(17) | kind.astype(np.uint64) << np.uint64(15) | np.minimum(p1, p2).astype(np.uint64) & np.uint64(0x7FFF))
-            sig, rec, p1, p2, kind, bucket, rares = sig[order], rec[order], p1[order], p2[order], kind[order], bucket[order], rares[order]
-            cut = np.searchsorted(bucket, np.arange(buckets + 1))
+            order = np.argsort((bucket * slots + slot) << 44 | rec << 17 | kind.astype(np.int64) << 15 | np.minimum(p1, p2).astype(np.int64) & 0x7FFF)
+            sig, rec, p1, p2, kind, bucket, slot = (x[order] for x in (sig, rec, p1, p2, kind, bucket, slot))
             out = []
             fit = lambda x: x.astype(np.uint16 if x.max(initial=0) < 65536 else np.uint32)
-            for k in range(buckets):
-                a, b = cut[k], cut[k + 1]
-                if b > a:
-                    mark = np.zeros(len(size), bool)
-                    mark[rec[a:b]] = True
-                    own = np.flatnonzero(mark)
-                    local = (np.cumsum(mark) - 1)[rec[a:b]]
-                    narrow = wide[own]
-                    # sketches of each width apart
-                    kinds = [bits[own[narrow == w], : 1 << 2 * w].ravel() for w in range(int(narrow.max()) + 1)]
-                    columns = [*pack28(sig[a:b]), fit(local), fit(p1[a:b]), fit(p2[a:b]), kind[a:b], fit(rares[a:b])]
-                    out.append((k, press.compress(freeze([*columns, seq[own], fit(size[own]), fit(capacity[own]), narrow.astype(np.uint8), *kinds]))))
+            for k in np.unique(bucket).tolist():
+                a, b = np.searchsorted(bucket, [k, k + 1])
+                mark = np.zeros(len(size), bool)
+                mark[rec[a:b]] = True
+                own, local = np.flatnonzero(mark), np.cumsum(mark) - 1
+                wide = width[own]
+                # sketches of each width apart
+                kinds = [words_of(words, first[own[wide == w]], w).ravel() for w in range(int(wide.max()) + 1)]
+                codes = np.frombuffer(pack40(seq[own].view(np.uint64) & MASK40), np.uint8)
+                out.append((k, -1, press.compress(freeze([name, codes, fit(size[own]), fit(lacking[own]), wide.astype(np.uint8), *kinds]))))
+                cut = a + np.searchsorted(slot[a:b], np.arange(slots + 1))
+                for j, (c, d) in enumerate(zip(cut, cut[1:])):
+                    if d > c:
+                        out.append((k, j, press.compress(freeze([name, *pack28(sig[c:d]), fit(local[rec[c:d]]), fit(p1[c:d]), fit(p2[c:d]), kind[c:d]]))))
             short = np.unique(np.concatenate([p[5] for p in parts]))
             if len(short):
-                out.append((-1, press.compress(freeze([seq[short]]))))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([p for _, p in out], pa.binary())], names=["bucket", "pack"])
+                out.append((-1, 0, press.compress(freeze([seq[short] & CODE]))))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "slot", "pack"])
 
         held, n = [], 0
         for batch in batches:
@@ -312,7 +347,7 @@ def _signatures(sets: DataFrame, costs: tuple[np.ndarray, np.ndarray], threshold
         if held:
             yield from flush(held)
 
-    return sets.select("tbl", "seq", "runs").mapInArrow(make, "bucket int, pack binary")
+    return sets.select("tbl", "seq", "runs").mapInArrow(make, "bucket int, slot int, pack binary")
 
 
 def table_code(name: str) -> int:
@@ -339,24 +374,50 @@ def thaw(b: bytes) -> list[np.ndarray]:
     return out
 
 
-def meet(packs: list[bytes], threshold: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(larger set, smaller set, units met, units to meet) of one bucket, in chunks."""
+class Told:
+    """What is told of the sets of a bucket."""
+
+    def __init__(self, packs: list[bytes], threshold: Fraction) -> None:
+        press, tables, n, m = zstandard.ZstdDecompressor(), [], 0, 0
+        self.base: dict[int, int] = {}
+        file, held, kept = None, [], 0
+        for p in packs:
+            name, codes, size, lacking, wide, *kinds = thaw(press.decompress(p))
+            flat, first = np.concatenate(kinds), np.zeros(len(size), np.int64)
+            for w, at in enumerate(np.cumsum([0, *map(len, kinds)])[:-1]):
+                of = np.flatnonzero(wide == w)
+                first[of] = at + (np.arange(len(of)) << w)
+            self.base[int(name[0])] = n
+            tables.append((unpack40(codes.tobytes()).astype(np.int64), size.astype(np.int32), lacking.astype(np.int32), wide, first + m))
+            n, m = n + len(size), m + len(flat)
+            held.append(flat)
+            kept += flat.nbytes
+            if kept > HELD_BYTES:
+                file = file or tempfile.TemporaryFile()
+                for x in held:
+                    file.write(x)
+                held, kept = [], 0
+        self.code, self.size, lacking, self.wide, self.first = (np.concatenate(x) for x in zip(*tables))
+        both = threshold.denominator + threshold.numerator
+        self.capacity = 2 * self.size.astype(np.int64) * (threshold.denominator - threshold.numerator) // both + 1 + SLACK - lacking
+        if file:
+            for x in held:
+                file.write(x)
+            file.flush()
+            self.words = np.memmap(file, np.uint64, "r", shape=(m,))
+        else:
+            self.words = np.concatenate(held)
+
+
+def meet(told: Told, packs: list[bytes], threshold: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(larger set, smaller set, units met, units to meet) of one slot of a bucket, in chunks."""
     press = zstandard.ZstdDecompressor()
-    parts, tables, n, m = [], [], 0, 0
+    parts = []
     for p in packs:
-        low, high, rec, p1, p2, kind, rares, seq, size, capacity, narrow, *kinds = thaw(press.decompress(p))
-        sig = unpack28(low, high)
-        # the words of all sketches in one array, and where each begins
-        flat, begin_at = np.concatenate(kinds), np.zeros(len(seq), np.int64)
-        for w, at in enumerate(np.cumsum([0, *map(len, kinds)])[:-1]):
-            of = np.flatnonzero(narrow == w)
-            begin_at[of] = at + np.arange(len(of)) * (1 << 2 * w)
-        parts.append((sig, rec.astype(np.int64) + n, p1.astype(np.int32), p2.astype(np.int32), kind, rares.astype(np.int32)))
-        tables.append((seq, size.astype(np.int64), capacity.astype(np.int64), flat, narrow.astype(np.int64), begin_at + m))
-        n, m = n + len(seq), m + len(flat)
-    sig, rec, p1, p2, kind, rares = (np.concatenate([p[i] for p in parts]) for i in range(6))
-    seqs, sizes, capacities, bits, widths, sketch_at = (np.concatenate([t[i] for t in tables]) for i in range(6))
-    del parts, tables
+        name, low, high, rec, p1, p2, kind = thaw(press.decompress(p))
+        parts.append((unpack28(low, high), rec.astype(np.int32) + np.int32(told.base[int(name[0])]), p1.astype(np.int32), p2.astype(np.int32), kind))
+    sig, rec, p1, p2, kind = (np.concatenate([p[i] for p in parts]) for i in range(5))
+    del parts
     order = np.argsort(sig)
     sig = sig[order]
     # most signatures are one set's alone
@@ -365,13 +426,13 @@ def meet(packs: list[bytes], threshold: Fraction) -> Iterator[tuple[np.ndarray,
     order, sig = order[~alone], sig[~alone]
     if not len(sig):
         return
-    order = order[np.lexsort((kind[order], seqs[rec[order]], sig))]
-    sig, rec, p1, p2, kind, rares = np.sort(sig), rec[order], p1[order], p2[order], kind[order], rares[order]
-    seq = seqs[rec]
+    order = order[np.lexsort((kind[order], told.size[rec[order]], told.code[rec[order]], sig))]
+    sig, rec, p1, p2, kind = np.sort(sig), rec[order], p1[order], p2[order], kind[order]
+    code, size = told.code[rec], told.size[rec].astype(np.int64)
     # equal word sequences read by several tasks are one set
-    new = np.r_[True, (sig[1:] != sig[:-1]) | (seq[1:] != seq[:-1]) | (kind[1:] != kind[:-1])]
-    sig, rec, p1, p2, kind, rares, seq = (x[new] for x in (sig, rec, p1, p2, kind, rares, seq))
-    size, capacity = sizes[rec], capacities[rec]
+    new = np.r_[True, (sig[1:] != sig[:-1]) | (code[1:] != code[:-1]) | (size[1:] != size[:-1]) | (kind[1:] != kind[:-1])]
+    sig, rec, p1, p2, kind, code, size = (x[new] for x in (sig, rec, p1, p2, kind, code, size))
+    capacity = told.capacity[rec]
     begin = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
     length = np.diff(np.r_[begin, len(sig)])
     group = np.repeat(np.arange(len(begin)), length)
@@ -388,7 +449,7 @@ def meet(packs: list[bytes], threshold: Fraction) -> Iterator[tuple[np.ndarray,
         n = length[group[pr]]
         r = np.repeat(pr, n)
         s = np.repeat(begin[group[pr]] - (np.cumsum(n) - n), n) + np.arange(len(r))
-        ok = (kind[s] & 2 > 0) & (kind[r] & kind[s] & 1 == 0) & (seq[r] != seq[s]) & ((size[s] < size[r]) | (size[s] == size[r]) & (seq[s] < seq[r])) & (size[s] * high >= size[r] * low)
+        ok = (kind[s] & 2 > 0) & (kind[r] & kind[s] & 1 == 0) & ((size[s] < size[r]) | (size[s] == size[r]) & (code[s] < code[r])) & (size[s] * high >= size[r] * low)
         r, s = r[ok], s[ok]
         h = (size[r] + size[s]) * (high - low) // (high + low)
         reach = np.minimum(h + 1 + SLACK, capacity[r])
@@ -396,29 +457,17 @@ def meet(packs: list[bytes], threshold: Fraction) -> Iterator[tuple[np.ndarray,
         met = np.where(both, (p1[r] < reach).astype(np.int32) + (p2[r] < reach), (p2[r] < reach).astype(np.int32))
         hit = np.flatnonzero(met > 0)
         r, s, met, h, reach = r[hit], s[hit], met[hit], h[hit], reach[hit]
-        # the sketches' distance is diff among frequent runs, which leaves the rest of H to the rare ones: of so many rare
-        # units and as many more as have to be met, enough are met in a similar pair, and later units needn't be counted
-        apart, x, y, width = np.zeros(len(r), np.int64), sketch_at[rec[r]], sketch_at[rec[s]], 1 << 2 * widths[rec[s]]
-        for w in range(int(width.max(initial=0))):
-            to_do = np.flatnonzero((width > w) & (apart <= h))
-            if not len(to_do):
-                break
-            apart[to_do] += np.bitwise_count(bits[x[to_do] + w] ^ bits[y[to_do] + w])
-        ok = (apart <= h) & (rares[r] < reach - apart)
-        yield seq[r][ok], seq[s][ok], met[ok].astype(np.int64), (reach - h)[ok]
+        x, y = rec[r], rec[s]
+        ok = apart(told.words, told.first[x], told.first[y], told.wide[x].astype(np.int64), told.wide[y].astype(np.int64)) <= h
+        yield code[r][ok], code[s][ok], met[ok].astype(np.int64), (reach - h)[ok]
 
 
 def _candidates(signatures: DataFrame, threshold: Fraction, buckets: int) -> DataFrame:
-    """(a, b): pairs that met as many units as they have to; a = b names a set with too few units."""
-
-    def gather(bucket: int, packs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        if bucket == -1:
-            for p in packs:
-                seq = thaw(zstandard.ZstdDecompressor().decompress(p))[0]
-                yield listed(seq, seq, np.ones(len(seq), np.int64), np.ones(len(seq), np.int64))
-            return
+    """(a, b): codes of pairs that met as many units as they have to; a = b names a set with too few units."""
+
+    def gather(told: Told, packs: list[bytes]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for part in meet(packs, threshold):
+        for part in meet(told, packs, threshold):
             held.append(part)
             n += len(part[0])
             if n > 1_000_000:
@@ -436,16 +485,30 @@ def _candidates(signatures: DataFrame, threshold: Fraction, buckets: int) -> Dat
         return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(need[first].astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(many)].astype(np.int32)), pa.array(np.repeat(b, met)))], names=["a", "need", "bs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, packs = None, []
+        now, packs, told = None, [], None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            nonlocal told
+            if now[0] == -1:
+                for p in packs:
+                    code = thaw(zstandard.ZstdDecompressor().decompress(p))[0]
+                    yield listed(code, code, np.ones(len(code), np.int64), np.ones(len(code), np.int64))
+            elif now[1] == -1:
+                told = None
+                told = Told(packs, threshold)
+            else:
+                yield from gather(told, packs)
+
         for batch in batches:
-            for k, p in zip(batch.column("bucket").to_pylist(), batch.column("pack").to_pylist()):
-                if k != now and packs:
-                    yield from gather(now, packs)
+            # packs stay where Arrow has them
+            for k, j, p in zip(batch.column("bucket").to_pylist(), batch.column("slot").to_pylist(), map(pa.BinaryScalar.as_buffer, batch.column("pack"))):
+                if (k, j) != now and packs:
+                    yield from done()
                     packs = []
-                now = k
+                now = (k, j)
                 packs.append(p)
         if packs:
-            yield from gather(now, packs)
+            yield from done()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
@@ -470,18 +533,19 @@ def _candidates(signatures: DataFrame, threshold: Fraction, buckets: int) -> Dat
         ok = first[np.diff(np.r_[first, len(a)]) >= need[first]]
         return pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
 
-    # a partition a bucket: what a task reads doesn't grow with the input
-    met = signatures.repartitionById(buckets, F.pmod("bucket", F.lit(buckets))).sortWithinPartitions("bucket").mapInArrow(run, "a bigint, need int, bs array<bigint>")
-    return met.repartition(buckets, "a").sortWithinPartitions("a").mapInArrow(count, "a bigint, b bigint")
+    # a partition a bucket: the signatures that a task reads don't grow with the input
+    met = signatures.repartitionById(buckets, F.pmod("bucket", F.lit(buckets))).sortWithinPartitions("bucket", "slot").mapInArrow(run, "a bigint, need int, bs array<bigint>")
+    return met.repartition("a").sortWithinPartitions("a").mapInArrow(count, "a bigint, b bigint")
 
 
 def _costs(sets: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
     """Runs that more than one set of a sample has, and the logarithm of their share; bounded by the sample's bytes."""
     share = min(1.0, SAMPLE_BYTES / max(total, 1))
-    rows = sets.where(F.pmod(F.xxhash64("seq"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("tbl", "seq", "runs").toPandas().drop_duplicates(["tbl", "seq"])["runs"].tolist()
+    rows = sets.where(F.pmod(F.xxhash64("seq"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("tbl", "seq", "runs").toArrow()
+    rows = list({(t, s): r.as_buffer() for t, s, r in zip(rows.column("tbl").to_pylist(), rows.column("seq").to_pylist(), rows.column("runs"))}.values())
     if not rows:
         return np.zeros(1, np.uint64), np.zeros(1)
-    runs, counts = np.unique(unpack40(b"".join(map(bytes, rows))), return_counts=True)
+    runs, counts = np.unique(unpack40(b"".join(rows)), return_counts=True)
     seen = counts > 1
     if not seen.any():
         return np.zeros(1, np.uint64), np.array([-np.log(len(rows) + 1.0)])
@@ -494,17 +558,17 @@ def similar_sets(recs: DataFrame, run: int = RUN, threshold: float = THRESHOLD,
     t = Fraction(str(threshold))
     read = settle(_sets(recs, run, least_words), "runs")
     members, sets = read.where("kind = 0").select("tbl", "id", "seq").distinct(), read.where("kind = 1").select("tbl", "seq", "runs")
-    total = sets.agg(F.sum(F.length("runs"))).first()[0] or 0
+    allotted, buckets, slots, total = _allotted(sets)
     costs = _costs(sets, total)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
-    candidates = settle(_candidates(_signatures(sets, costs, t, buckets), t, buckets), "candidates")
+    candidates = settle(_candidates(_signatures(sets, costs, t, allotted, slots), t, buckets), "candidates")
     wanted = candidates.where("a <> b").select("a", "b")
+    code = F.col("seq").bitwiseAND(F.lit(CODE))
     # only the sets of candidates travel from here on
-    needed = sets.where(one_of(wanted.select(F.explode(F.array("a", "b")).alias("seq")))("seq")).repartition("seq").groupBy("tbl", "seq").agg(F.first("runs").alias("runs"))
-    left, right = needed.select("tbl", F.col("seq").alias("a"), F.col("runs").alias("x")), needed.select(F.col("tbl").alias("tbl_2"), F.col("seq").alias("b"), F.col("runs").alias("y"))
-    pairs = _verified(wanted.join(left, "a").join(right, "b").where("tbl = tbl_2").select("tbl", "a", "b", "x", "y"), threshold)
-    if not (short := candidates.where("a = b").select(F.col("a").alias("seq")).distinct()).isEmpty():
-        pairs = pairs.unionByName(_against_all(sets, short, threshold)).distinct()
+    needed = sets.withColumn("code", code).where(one_of(wanted.select(F.explode(F.array("a", "b")).alias("code")))("code")).repartition("code").groupBy("code", "tbl", "seq").agg(F.first("runs").alias("runs"))
+    left, right = needed.select("tbl", F.col("code").alias("a"), F.col("seq").alias("seq_a"), F.col("runs").alias("x")), needed.select(F.col("tbl").alias("tbl_2"), F.col("code").alias("b"), F.col("seq").alias("seq_b"), F.col("runs").alias("y"))
+    pairs = _verified(wanted.join(left, "a").join(right, "b").where("tbl = tbl_2").select("tbl", F.col("seq_a").alias("a"), F.col("seq_b").alias("b"), "x", "y"), threshold)
+    if not (short := candidates.where("a = b").select(F.col("a").alias("code")).distinct()).isEmpty():
+        pairs = pairs.unionByName(_against_all(sets, sets.withColumn("code", code).join(short, "code", "left_semi").select("seq").distinct(), threshold)).distinct()
     return members, pairs
 
 
@@ -517,9 +581,13 @@ def jaccard(x: bytes, y: bytes) -> float:
 def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            alike = np.array([jaccard(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())])
-            done = batch.select(["tbl", "a", "b"]).filter(pa.array(alike >= threshold))
-            yield pa.RecordBatch.from_arrays([*done.columns, pa.array(alike[alike >= threshold])], names=["tbl", "a", "b", "similarity"])
+            xs, ys = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+            alike = np.array([jaccard(x, y) for x, y in zip(xs, ys)])
+            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
+            # the larger one first; of the same size, the one of the larger sequence
+            turned = np.array([(len(y), j) > (len(x), i) for x, y, i, j in zip(xs, ys, a.tolist(), b.tolist())], bool)
+            columns = [batch.column("tbl"), pa.array(np.where(turned, b, a)), pa.array(np.where(turned, a, b)), pa.array(alike)]
+            yield pa.RecordBatch.from_arrays(columns, names=["tbl", "a", "b", "similarity"]).filter(pa.array(alike >= threshold))
 
     return pairs.mapInArrow(check, "tbl string, a bigint, b bigint, similarity double")
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from marlstone.llm import neardup, pairing, spans
@@ -64,6 +65,63 @@ def test_sets_without_enough_units_go_the_other_way(spark, monkeypatch):
     assert got == brute(texts, 3, 0.5, 20)
 
 
+def test_signatures_take_no_more_room_where_there_are_more_partitions(spark, monkeypatch):
+    rng, found, sizes = random.Random(5), neardup._candidates, []
+
+    def measured(signatures, *rest):
+        sizes.append(sum(len(r.pack) for r in signatures.select("pack").collect()))
+        return found(signatures, *rest)
+
+    monkeypatch.setattr(neardup, "_candidates", measured)
+    df = spark.createDataFrame([("t", i, " ".join(rng.choices(WORDS, k=100))) for i in range(1000)], "tbl string, id bigint, text string").coalesce(1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("8", "200"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            neardup.similar_sets(df, run=3, threshold=0.5)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sizes[1] < 1.2 * sizes[0]
+
+
+def test_slots_and_sketches_on_file(spark, monkeypatch):
+    texts = corpus(random.Random(12), 150, [20, 60, 250, 900])
+    df = spark.createDataFrame([("t", i, t) for i, t in texts.items()], "tbl string, id bigint, text string")
+    sets = neardup._sets(df, 3, 20).where("kind = 1").cache()
+    monkeypatch.setattr(neardup, "BUCKET_BYTES", 40_000)
+    monkeypatch.setattr(neardup, "SLOT_BYTES", 3_000)
+    allotted, buckets, slots, total = neardup._allotted(sets)
+    assert slots > 3 and buckets > 3
+    t = neardup.Fraction("0.5")
+    rows = neardup._signatures(sets, neardup._costs(sets, total), t, allotted, slots).where("bucket >= 0").collect()
+
+    def meetings():
+        out = []
+        for k in sorted({r.bucket for r in rows}):
+            told = neardup.Told([r.pack for r in rows if r.bucket == k and r.slot == -1], t)
+            for j in sorted({r.slot for r in rows if r.bucket == k and r.slot >= 0}):
+                for part in neardup.meet(told, [r.pack for r in rows if r.bucket == k and r.slot == j], t):
+                    out += zip(*(x.tolist() for x in part))
+        return sorted(out)
+
+    held = meetings()
+    monkeypatch.setattr(neardup, "HELD_BYTES", 1)
+    assert held and meetings() == held
+    got = {(r.id_1, r.id_2) for r in neardup.similar_pairs(df, run=3, threshold=0.5).collect()}
+    assert got == brute(texts, 3, 0.5, 20)
+
+
+def test_sketches_never_tell_more_than_sets_differ():
+    rng = np.random.default_rng(3)
+    size = np.array([1, 16, 33, 64, 70, 300, 1500])
+    runs = [np.unique(rng.integers(0, 3000, n).astype(np.uint64)) for n in size]
+    size = np.array([len(x) for x in runs])
+    words, width, first = neardup.sketches(np.concatenate(runs), np.repeat(np.arange(len(size)), size), size)
+    x, y = (v.ravel() for v in np.meshgrid(np.arange(len(size)), np.arange(len(size))))
+    least = neardup.apart(words, first[x], first[y], width[x], width[y])
+    assert (least <= [len(np.setxor1d(runs[i], runs[j])) for i, j in zip(x, y)]).all() and (least[x == y] == 0).all() and least.max() > 100
+
+
 def test_pairs_within_groups_of_any_size(spark, monkeypatch):
     monkeypatch.setattr(pairing, "PART", 7)
     rows = [("a", 1, i) for i in range(30)] + [("a", 2, 1), ("b", 1, 5), ("b", 1, 6)]
